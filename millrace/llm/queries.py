@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, sharding
+from millrace.llm import decontamination, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,32 @@ select doc_id, cast(size as bigint) as size, source_size, target, source,
 from placed
 """
 
+def op6_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+iw as (
+  select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+cut as (select item, w, least(len(w), 10) as n from iw where len(w) > 0),
+windows as (select distinct item, n, array_to_string(w[s:s + n - 1], ' ') as k from (select *, unnest(range(1, len(w) - n + 2)) as s from cut)),
+grams as (
+  select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as k
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from dw, (select distinct n from windows) where len(w) >= n)),
+met as (select g.doc_id, g.s, g.n, x.item from grams g join windows x on g.n = x.n and g.k = x.k),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from met) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as l from (select distinct doc_id, item from met) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw d left join pos using (doc_id) left join its using (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
     "op3_schedule_mix": lambda s, d: op3_schedule_mix(s, d).drop("first_slot"),
+    "op6_winnowed_decontamination": op6_winnowed_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op3_schedule_mix": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_schedule_mix": OP3_SQL, "op6_winnowed_decontamination": OP6_SQL}
