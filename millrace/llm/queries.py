@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, mixing, sharding
+from millrace.llm import decontamination, jaccard, mixing, sharding, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+
+
+def op7_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op10_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -70,10 +82,55 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from dw d left join pos using (doc_id) left join its using (doc_id)
 """
 
+OP7_SQL = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from d),
+cls as (select list_sort(s) as s, min(doc_id) as class_id, len(any_value(s)) as n from sets where len(s) > 0 group by 1),
+tok as (select class_id, n, unnest(s) as t from cls),
+df as (select t, count(*) as f from tok group by t),
+ranked as (select class_id, n, k.t, row_number() over (partition by class_id order by f, k.t) as r from tok k join df on k.t = df.t),
+pre as (select class_id, n, t from ranked where r <= n - ceil(n * 0.9) + 1),
+cand as (select distinct x.class_id as a, y.class_id as b from pre x join pre y on x.t = y.t and x.class_id < y.class_id and least(x.n, y.n) * 100 >= 90 * greatest(x.n, y.n)),
+hit as (select c.a, c.b, x.n as na, y.n as nb, len(list_intersect(x.s, y.s)) as i from cand c join cls x on x.class_id = c.a join cls y on y.class_id = c.b),
+link as (select a, b from hit where 100 * i >= 90 * (na + nb - i) union select b, a from hit where 100 * i >= 90 * (na + nb - i)),
+reach(node, other) as (select class_id, class_id from cls union select r.node, l.b from reach r join link l on l.a = r.other),
+comp as (select node, min(other) as component_id from reach group by node)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(c.class_id, s.doc_id) as class_id, coalesce(m.component_id, s.doc_id) as component_id
+from sets s left join cls c on len(s.s) > 0 and list_sort(s.s) = c.s left join comp m on m.node = c.class_id
+"""
+
+OP10_SQL = r"""
+with recursive l as (
+  select url, unnest([regexp_extract(regexp_extract(html, '<link[^>]+rel=["'']?canonical["'']?[^>]*>'), 'href=["'']?([^"''\s>]+)', 1),
+                      regexp_extract(regexp_extract(html, '<meta[^>]+http-equiv=["'']?refresh["'']?[^>]*>'), 'url=["'']?([^"''\s>]+)', 1)]) as target from pages),
+u as (select url, page_id, true as page from pages union all select url, null, false from l where contains(target, '://') union all select target, null, false from l where contains(target, '://')),
+p as (select *, case when contains(coalesce(url, ''), '://') then split_part(substr(url, strpos(url, '://') + 3), '#', 1) else '' end as rest from u),
+h as (
+  select *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+rules(verdict, rh, rp) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit as (
+  select host, path, arg_max(rh || rp, length(rh) + length(rp)) as rule, arg_max(verdict, length(rh) + length(rp)) as verdict
+  from (select distinct host, path from h) join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path),
+n as (
+  select h.*, f.rule, f.verdict, case when host <> '' then host || regexp_replace(path, '/+$', '') || regexp_extract(rest, '\?.*$', 0, 's') end as node
+  from h left join fit f on h.host = f.host and h.path = f.path),
+name as (select distinct url, node from n where node is not null),
+edge as (select a.node as x, b.node as y from l join name a on a.url = l.url join name b on b.url = l.target),
+both as (select x, y from edge union select y, x from edge),
+reach(node, other) as (select node, node from name union select r.node, b.y from reach r join both b on b.x = r.other),
+said as (select r.node, bool_or(n.verdict = 'block') and not bool_or(n.verdict = 'allow') as bad from reach r join n on n.node = r.other where n.verdict is not null group by r.node)
+select page_id, host, path, rule, coalesce(verdict, case when bad then 'block' else 'allow' end) as verdict from n left join said using (node) where page
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_toxicity": op1_crf_toxicity,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
     "op3_schedule_mix": lambda s, d: op3_schedule_mix(s, d).drop("first_slot"),
     "op6_winnowed_decontamination": op6_winnowed_decontamination,
+    "op7_partition_jaccard": op7_partition_jaccard,
+    "op10_redirect_verdicts": op10_redirect_verdicts,
 }
 
-ORACLES: dict[str, str] = {"op3_schedule_mix": OP3_SQL, "op6_winnowed_decontamination": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_schedule_mix": OP3_SQL, "op6_winnowed_decontamination": OP6_SQL, "op7_partition_jaccard": OP7_SQL, "op10_redirect_verdicts": OP10_SQL}
