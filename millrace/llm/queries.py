@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, jaccard, mixing, sharding, toxicity, urls
+from millrace.llm import decontamination, fingerprints, interpolation, jaccard, mixing, quality, sharding, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op7_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -114,12 +126,12 @@ fit as (
   select host, path, arg_max(rh || rp, length(rh) + length(rp)) as rule, arg_max(verdict, length(rh) + length(rp)) as verdict
   from (select distinct host, path from h) join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path),
 n as (
-  select h.*, f.rule, f.verdict, case when host <> '' then host || regexp_replace(path, '/+$', '') || regexp_extract(rest, '\?.*$', 0, 's') end as node
+  select h.*, f.rule, f.verdict, case when h.host <> '' then h.host || regexp_replace(h.path, '/+$', '') || regexp_extract(rest, '\?.*$', 0, 's') end as node
   from h left join fit f on h.host = f.host and h.path = f.path),
 name as (select distinct url, node from n where node is not null),
 edge as (select a.node as x, b.node as y from l join name a on a.url = l.url join name b on b.url = l.target),
-both as (select x, y from edge union select y, x from edge),
-reach(node, other) as (select node, node from name union select r.node, b.y from reach r join both b on b.x = r.other),
+sym as (select x, y from edge union select y, x from edge),
+reach(node, other) as (select node, node from name union select r.node, b.y from reach r join sym b on b.x = r.other),
 said as (select r.node, bool_or(n.verdict = 'block') and not bool_or(n.verdict = 'allow') as bad from reach r join n on n.node = r.other where n.verdict is not null group by r.node)
 select page_id, host, path, rule, coalesce(verdict, case when bad then 'block' else 'allow' end) as verdict from n left join said using (node) where page
 """
@@ -128,8 +140,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_toxicity": op1_crf_toxicity,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
     "op3_schedule_mix": lambda s, d: op3_schedule_mix(s, d).drop("first_slot"),
+    "op4_kneser_ney_quality": op4_kneser_ney_quality,
     "op6_winnowed_decontamination": op6_winnowed_decontamination,
     "op7_partition_jaccard": op7_partition_jaccard,
+    "op8_scaled_sketch": op8_scaled_sketch,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_redirect_verdicts": op10_redirect_verdicts,
 }
 
