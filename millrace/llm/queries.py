@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, fingerprints, interpolation, jaccard, mixing, quality, sharding, toxicity, urls
+from millrace.llm import decontamination, fingerprints, interpolation, jaccard, mixing, passages, quality, sharding, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -141,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
     "op3_schedule_mix": lambda s, d: op3_schedule_mix(s, d).drop("first_slot"),
     "op4_kneser_ney_quality": op4_kneser_ney_quality,
+    "op5_chained_passages": op5_chained_passages,
     "op6_winnowed_decontamination": op6_winnowed_decontamination,
     "op7_partition_jaccard": op7_partition_jaccard,
     "op8_scaled_sketch": op8_scaled_sketch,
