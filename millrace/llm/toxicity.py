@@ -24,7 +24,7 @@ SAMPLE = 1200
 HELD_OUT = "pmod(crc32(coalesce(cast({0} as string), '')), 3) = 1"
 _FOLD = bytes.maketrans((UPPER + MARKS).encode(), (LOWER + " " * len(MARKS)).encode())
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BATCH_WORDS = 1_000_000
+_BATCH_WORDS = 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -90,6 +90,14 @@ def _starts(sizes: list[int]) -> np.ndarray:
     return first
 
 
+def _in_blocks(e: np.ndarray, first: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """marginals() of a block of whole texts at a time, so that memory is a block's."""
+    at = np.flatnonzero(first)
+    cuts = [0, *at[np.flatnonzero(np.diff(at // _BATCH_WORDS)) + 1], len(e)]
+    parts = [marginals(e[x:y], first[x:y], a) for x, y in zip(cuts, cuts[1:]) if y > x]
+    return np.concatenate([np.zeros(0), *(p for p, _ in parts)]), sum((q for _, q in parts), np.zeros((2, 2)))
+
+
 def _features(p: np.ndarray, sizes: list[int]) -> np.ndarray:
     """For each text: 1, the log of 1 plus the expected number of toxic words, and the largest marginal."""
     out = np.zeros((len(sizes), 3))
@@ -138,13 +146,15 @@ def lexicon(docs: list[list[bytes]], toxic: np.ndarray, share: float = 0.25, lea
 
 def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, rounds: int = 30) -> Tagger:
     """A field and document weights from labelled texts; without labels of both kinds all scores are the share of toxic ones (0.5 without any)."""
-    docs = [words_of(t) for t in texts]
+    one: dict[bytes, bytes] = {}
+    docs = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]  # each word is held once
     sizes = [len(x) for x in docs]
     stand_out = lexicon(docs, toxic)
     df = Counter(w for x in docs for w in set(x))
     known = {w: i + 1 for i, w in enumerate(sorted(w for w, k in df.items() if k >= 3 or w in stand_out))}
     ids = np.fromiter((known.get(w, 0) for x in docs for w in x), dtype=np.int64, count=sum(sizes))
     tags = np.fromiter((bool(y) and w in stand_out for x, y in zip(docs, toxic) for w in x), dtype=bool, count=sum(sizes))
+    del docs
     first = _starts(sizes)
     later = np.flatnonzero(~first[1:]) + 1 if len(first) else np.zeros(0, dtype=int)
     seen = np.bincount(ids, weights=tags, minlength=len(known) + 1)
@@ -152,14 +162,14 @@ def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, rounds:
     w, a = np.full(len(known) + 1, -2.0), np.zeros((2, 2))
     past_w, past_a = np.full_like(w, 1e-3), np.full_like(a, 1e-3)
     for _ in range(rounds if stand_out else 0):
-        p, expected = marginals(w[ids], first, a)
+        p, expected = _in_blocks(w[ids], first, a)
         gw = seen - np.bincount(ids, weights=p, minlength=len(w)) - 0.01 * w
         ga = pairs - expected - 0.01 * a
         past_w += gw**2
         past_a += ga**2
         w += gw / np.sqrt(past_w)
         a += ga / np.sqrt(past_a)
-    p, _ = marginals(w[ids], first, a)
+    p, _ = _in_blocks(w[ids], first, a)
     x, doc = _features(p, sizes), np.zeros(3)
     for _ in range(25 if len(texts) else 0):
         q = 1 / (1 + np.exp(-np.clip(x @ doc, -500, 500)))
@@ -198,7 +208,7 @@ def tag(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             at = 0
-            while at < len(texts):  # a group of texts of about a million words, one at least
+            while at < len(texts):  # a group of texts of about _BATCH_WORDS words, one at least
                 end, room = at, _BATCH_WORDS * 6
                 while end < len(texts) and (end == at or room > 0):
                     room -= len(texts[end] or "")
