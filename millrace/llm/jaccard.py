@@ -80,26 +80,116 @@ def signatures(members: np.ndarray, over: int = OVER, under: int = UNDER) -> np.
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _sets(docs: DataFrame, words: int, over: int, under: int, full: bool) -> DataFrame:
-    """(id, n, h1, h2) and either all members or the signatures."""
-    name = "members" if full else "sigs"
+def _digests(lists: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Sizes and two hashes of sets; the first hash names a set from here on."""
+    h1 = [np.add.reduce(mix(s ^ _SEED), dtype=np.uint64) for s in lists]
+    h2 = [np.bitwise_xor.reduce(mix(s + _STEP), dtype=np.uint64) for s in lists]
+    return [len(s) for s in lists], *(np.array(h, dtype=np.uint64).view(np.int64) for h in (h1, h2))
+
+
+def _set_of(text: str | None, hashes: WordHashes, words: int) -> np.ndarray:
+    return np.unique(shingles(hashes.of(split_words(text)), words))
+
+
+def _named(docs: DataFrame, words: int) -> DataFrame:
+    """(id, n, h1, h2) for each text."""
+
+    def each(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            n, h1, h2 = _digests([_set_of(t, hashes, words) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2)], ["id", "n", "h1", "h2"])
+
+    return docs.mapInArrow(each, "id bigint, n bigint, h1 bigint, h2 bigint")
+
+
+def _members(docs: DataFrame, words: int) -> DataFrame:
+    def each(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                lists = [_set_of(t, hashes, words) for t in batch.column("text").slice(at, 200).to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(lists)[1]), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists).view(np.int64)))], ["id", "members"])
+
+    return docs.mapInArrow(each, "id bigint, members array<bigint>")
+
+
+def _packed(docs: DataFrame, words: int, over: int, under: int, buckets: int) -> DataFrame:
+    """(bucket, sigs, nodes): the signatures of many texts and the sets they belong to, as packed 64-bit numbers."""
 
     def each(batches):
         hashes = WordHashes()
         for batch in batches:
-            n, h1, h2, lists = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = np.unique(shingles(hashes.of(split_words(text)), words))
-                n.append(len(s))
-                h1.append(np.add.reduce(mix(s ^ _SEED), dtype=np.uint64))
-                h2.append(np.bitwise_xor.reduce(mix(s + _STEP), dtype=np.uint64) if len(s) else np.uint64(0))
-                lists.append(s if full else signatures(s, over, under))
-            at = np.cumsum([0, *map(len, lists)])
-            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, dtype=np.int64)
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), *(pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in (h1, h2)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "h1", "h2", name])
+            sigs, nodes = [], []
+            for at in range(0, batch.num_rows, 200):
+                lists = [_set_of(t, hashes, words) for t in batch.column("text").slice(at, 200).to_pylist()]
+                for s, node in zip(lists, _digests(lists)[1]):
+                    sigs.append(signatures(s, over, under))
+                    nodes.append(np.full(len(sigs[-1]), node, dtype=np.int64))
+            if not sigs:
+                continue
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            bucket = (sig % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((sig, bucket))
+            sig, node, bucket = sig[order], node[order], bucket[order]
+            new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])) if len(sig) else []
+            sig, node, bucket = sig[new], node[new], bucket[new]
+            at = np.searchsorted(bucket, np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(at))
+            cut = lambda v: [v[at[b] : at[b + 1]].tobytes() for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cut(sig), pa.binary()), pa.array(cut(node), pa.binary())], ["bucket", "sigs", "nodes"])
+
+    return docs.mapInArrow(each, "bucket int, sigs binary, nodes binary")
+
+
+class _Met:
+    """The signatures of a bucket with the set that came first; what is held grows with distinct signatures, not with the sets of one."""
+
+    def __init__(self):
+        self.sig, self.lead, self.shared = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Rows (sig, node, lead) of signatures that two sets or more have by now, each pair of a signature and a set not named before."""
+        first = np.unique(sig, return_index=True)
+        fresh = ~np.isin(first[0], self.sig, assume_unique=True)
+        keys, leads = np.concatenate([self.sig, first[0][fresh]]), np.concatenate([self.lead, node[first[1][fresh]]])
+        order = np.argsort(keys)
+        self.shared = np.concatenate([self.shared, np.zeros(fresh.sum(), bool)])[order]
+        self.sig, self.lead = keys[order], leads[order]
+        at = np.searchsorted(self.sig, sig)
+        other = node != self.lead[at]
+        begun = np.unique(at[other])
+        begun = begun[~self.shared[begun]]
+        self.shared[begun] = True
+        s = np.concatenate([sig[other], self.sig[begun]]).view(np.int64)
+        return np.stack([s, np.concatenate([node[other], self.lead[begun]]), np.concatenate([self.lead[at][other], self.lead[begun]])])
+
+
+def _shared(packed: DataFrame, buckets: int) -> DataFrame:
+    """(sig, id, lead) for every signature that several sets have."""
+
+    def each(batches):
+        now, met, waiting, size = None, None, [], 0
+
+        def flush():
+            out = met.add(*(np.concatenate([np.frombuffer(x[i], dtype=t) for x in waiting]) for i, t in ((0, np.uint64), (1, np.int64))))
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["sig", "id", "lead"])
+
+        for batch in batches:
+            for bucket, sigs, nodes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "nodes"))):
+                if waiting and (bucket != now or size > 500_000):
+                    yield flush()
+                    size = 0
+                if bucket != now:
+                    now, met = bucket, _Met()
+                waiting.append((sigs, nodes))
+                size += len(sigs) // 8
+        if waiting:
+            yield flush()
 
-    return docs.mapInArrow(each, f"id bigint, n bigint, h1 bigint, h2 bigint, {name} array<bigint>")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(each, "sig bigint, id bigint, lead bigint")
 
 
 def _verify(pairs: DataFrame, members: DataFrame, over: int, under: int) -> DataFrame:
@@ -114,36 +204,34 @@ def join(docs: DataFrame, over: int = OVER, under: int = UNDER, words: int = WOR
     """(id, n_shingles, class_id, component_id) for every row of docs: links are 100 * |A and B| >= 90 * |A or B| on sets of shingles.
 
     class_id is the smallest id with an equal set. A null or empty text has an empty set and stands alone, as does a row with a null id
-    (both ids null then). Rows that share an id are one node. An empty table gives no rows; other columns are left alone.
+    (both ids null then). Rows that share an id but not a set are apart. An empty table gives no rows; other columns are left alone.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    seen = materialize(_sets(texts, words, over, under, full=False))
+    seen = materialize(_named(texts, words))
     named = seen.filter("n > 0 and id is not null")
-    classes = named.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.max("id").alias("last"))
-    classes = materialize(classes)
-    # One row of each class keeps its signatures.
-    first = named.select("id", "n", "h1", "h2", "sigs").join(classes.select("n", "h1", "h2", F.col("class_id").alias("id")), ["n", "h1", "h2", "id"]).select("id", F.explode("sigs").alias("sig")).distinct()
-    shared = first.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("far")).filter("lead < far")
-    keys = materialize(first.join(shared, "sig").select("sig", "id", "lead"))
-    wanted = keys.select("id").distinct()
-    members = materialize(_sets(texts.join(wanted, "id", "left_semi"), words, over, under, full=True).dropDuplicates(["id", "n", "h1", "h2"]).select("id", "members"))
+    classes = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id")))
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = materialize(_shared(_packed(texts.filter("id is not null"), words, over, under, buckets), buckets).distinct())
+    wanted = classes.select(F.col("h1").alias("node"), "class_id").join(keys.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select(F.col("class_id").alias("id")).distinct()
+    members = materialize(_members(texts.join(wanted, "id", "left_semi"), words))
     links = materialize(_verify(keys.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), members, over, under))
     for last in (False, True):
         roots = components(links).withColumnRenamed("node", "id")
         placed = keys.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-        apart = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("id", F.xxhash64("id", "root")).alias("lead"), F.min_by("root", F.xxhash64("id", "root")).alias("lead_root")).filter("lo <> hi")
-        left = materialize(placed.join(apart, "sig"))
+        apart = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("id", "root"), F.xxhash64("id", "root")).alias("lead")).filter("lo <> hi")
+        left = materialize(placed.join(apart.select("sig", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "sig"))
         if last:
             x, y = left.select("sig", F.col("id").alias("a"), F.col("root").alias("ra")), left.select("sig", F.col("id").alias("b"), F.col("root").alias("rb"))
             pairs = x.join(y, "sig").filter("a < b and ra <> rb").select("a", "b").distinct()
         else:
             pairs = left.filter("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         links = materialize(links.unionByName(_verify(pairs, members, over, under)).distinct())
-    roots = components(links).withColumnRenamed("node", "class_id")
-    joined = classes.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    roots = components(links).withColumnRenamed("node", "h1")
+    joined = classes.join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     smallest = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
     joined = joined.join(smallest, "root").select("n", "h1", "h2", "class_id", "component_id")
-    out = named.select("id", "n", "h1", "h2").join(joined, ["n", "h1", "h2"]).select("id", "n", "class_id", "component_id")
+    out = named.join(joined, ["n", "h1", "h2"]).select("id", "n", "class_id", "component_id")
     alone = seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
 
