@@ -25,9 +25,17 @@ from millrace.llm.text import WordHashes, mix, shingles, split_words
 #: Numerator and denominator of the likeness, words of a shingle.
 OVER, UNDER, WORDS = 90, 100, 3
 #: For the choice of segments: sets of a band that a signature may meet by chance, and how likely two strange sets share a member.
-STRANGERS, SHARED = 20_000, 0.01
+STRANGERS, SHARED = 1_000, 0.01
 _SEED = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Signatures travel as 48 bits; what meets by chance is verified like the rest.
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _unpack(sigs: bytes, nodes: bytes, runs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(sigs) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(sigs, dtype=np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(nodes, dtype=np.int64), np.frombuffer(runs, dtype=np.uint32))
 
 
 @lru_cache(maxsize=None)
@@ -116,31 +124,36 @@ def _members(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _packed(docs: DataFrame, words: int, over: int, under: int, buckets: int) -> DataFrame:
-    """(bucket, sigs, nodes): the signatures of many texts and the sets they belong to, as packed 64-bit numbers."""
+    """(bucket, sigs, nodes, runs): the signatures of many texts (48 bits each), the sets they belong to, and how many in a row each has."""
 
     def each(batches):
         hashes = WordHashes()
         for batch in batches:
-            sigs, nodes = [], []
+            sigs, nodes, seen = [], [], set()
             for at in range(0, batch.num_rows, 200):
                 lists = [_set_of(t, hashes, words) for t in batch.column("text").slice(at, 200).to_pylist()]
                 for s, node in zip(lists, _digests(lists)[1]):
-                    sigs.append(signatures(s, over, under))
-                    nodes.append(np.full(len(sigs[-1]), node, dtype=np.int64))
+                    if node not in seen:
+                        seen.add(node)
+                        sigs.append(signatures(s, over, under) & _LOW)
+                        nodes.append(np.full(len(sigs[-1]), node, dtype=np.int64))
             if not sigs:
                 continue
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            bucket = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((sig, bucket))
+            bucket = (sig % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
             sig, node, bucket = sig[order], node[order], bucket[order]
-            new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])) if len(sig) else []
-            sig, node, bucket = sig[new], node[new], bucket[new]
             at = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(at))
-            cut = lambda v: [v[at[b] : at[b + 1]].tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cut(sig), pa.binary()), pa.array(cut(node), pa.binary())], ["bucket", "sigs", "nodes"])
+            short = sig.view(np.uint8).reshape(-1, 8)[:, :6]
+            out = []
+            for b in np.flatnonzero(np.diff(at)):
+                own = node[at[b] : at[b + 1]]
+                new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                out.append((int(b), short[at[b] : at[b + 1]].tobytes(), own[new].tobytes(), np.diff(np.append(new, len(own))).astype(np.uint32).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "sigs", "nodes", "runs"])
 
-    return docs.mapInArrow(each, "bucket int, sigs binary, nodes binary")
+    return docs.mapInArrow(each, "bucket int, sigs binary, nodes binary, runs binary")
 
 
 class _Met:
@@ -173,19 +186,19 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
         now, met, waiting, size = None, None, [], 0
 
         def flush():
-            out = met.add(*(np.concatenate([np.frombuffer(x[i], dtype=t) for x in waiting]) for i, t in ((0, np.uint64), (1, np.int64))))
+            out = met.add(*map(np.concatenate, zip(*(_unpack(*x) for x in waiting))))
             waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["sig", "id", "lead"])
 
         for batch in batches:
-            for bucket, sigs, nodes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "nodes"))):
+            for bucket, *part in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "nodes", "runs"))):
                 if waiting and (bucket != now or size > 500_000):
                     yield flush()
                     size = 0
                 if bucket != now:
                     now, met = bucket, _Met()
-                waiting.append((sigs, nodes))
-                size += len(sigs) // 8
+                waiting.append(part)
+                size += len(part[0]) // 6
         if waiting:
             yield flush()
 
