@@ -6,7 +6,8 @@ are hashes of segments and of their one-deletion neighbours; how many segments c
 that share a signature are candidates and are verified on their whole sets.
 
 Equal sets are one class before anything else. A signature's sets are compared with one of them, links are contracted, and only signatures
-whose sets are then still apart are gone through again, the last time pair by pair. So groups of copies never make all pairs.
+whose sets are then still apart are gone through again, the last time pair by pair. So groups of copies never make all pairs. A pair's sizes
+and parities of cells are compared first: they give a bound that no pair of alike sets fails; texts travel for the others alone.
 """
 
 from __future__ import annotations
@@ -48,20 +49,29 @@ def bands(over: int, under: int, most: int = 1 << 40) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=None)
-def allocate(band: int, over: int, under: int) -> tuple[int, int]:
-    """(segments, those among them that count double) for pairs whose larger set is in that band; (0, 0) where only equal sets are alike."""
+def allocate(band: int, over: int, under: int) -> tuple[int, int, int]:
+    """(segments, those among them that count double, poorest ones left out) for pairs whose larger set is in that band; zeros where only equal sets are alike.
+
+    With as many spare segments as are left out, some equal segment is kept by both sets: the richest of the equal ones (order: members, then
+    hash) is among the poorest of neither, as all the equal ones would have to be. Empty segments, which strange sets share, go this way.
+    """
+    low = bands(over, under)[max(band - 1, 0)]
     top = bands(over, under)[band + 1] - 1
     differ = 2 * top * (under - over) // (under + over)
     if not differ:
-        return 0, 0
+        return 0, 0, 0
     best = None
     for double in range(0, differ // 2 + 2):
-        m = double + max(0, differ + 1 - 2 * double)
-        alone, miss = (1 - (1 - SHARED) / m) ** top, top / m * (1 - (1 - SHARED) / m) ** (top - 1)
-        cost = m + double * top / m + STRANGERS * ((m - double) * alone + double * (alone + miss))
-        if best is None or cost < best[0]:
-            best = (cost, m, double)
-    return best[1], best[2]
+        for spare in range(0, differ // 2 + 2) if not double else (0,):
+            m = double + max(0, differ + 1 - 2 * double) + spare
+            alone = (1 - (1 - SHARED) / m) ** low
+            miss = low / m * (1 - (1 - SHARED) / m) ** (low - 1)
+            common = (m - double) * alone
+            common = max(0.0, common + 2 * common**0.5 - spare) if spare else common
+            cost = m - spare + double * top / m + STRANGERS * (common * alone + double * (alone + miss) ** 2)
+            if best is None or cost < best[0]:
+                best = (cost, m, double, spare)
+    return best[1:]
 
 
 def band_of(size: int, over: int, under: int) -> int:
@@ -73,7 +83,7 @@ def signatures(members: np.ndarray, over: int = OVER, under: int = UNDER) -> np.
     out = []
     own = band_of(len(members), over, under) if len(members) else 0
     for band in (own, own + 1) if len(members) else ():
-        m, double = allocate(band, over, under)
+        m, double, spare = allocate(band, over, under)
         if not m:
             continue
         seg = (mix(members ^ _SEED) % np.uint64(m)).astype(np.int64)
@@ -81,7 +91,8 @@ def signatures(members: np.ndarray, over: int = OVER, under: int = UNDER) -> np.
         sums = np.zeros(m, dtype=np.uint64)
         np.add.at(sums, seg, inner)
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-        out.append(mix(sums + tag))
+        whole = mix(sums + tag)
+        out.append(whole[np.lexsort((whole, np.bincount(seg, minlength=m)))[spare:]])
         if double:
             near = seg < double
             out.append(mix(sums[seg[near]] - inner[near] + tag[seg[near]]))
@@ -99,28 +110,47 @@ def _set_of(text: str | None, hashes: WordHashes, words: int) -> np.ndarray:
     return np.unique(shingles(hashes.of(split_words(text)), words))
 
 
+def parities(members: np.ndarray) -> bytes:
+    """A bit for each of a power of two of cells, no fewer than members: whether the cell holds an odd number of them."""
+    cells = max(64, 1 << (len(members) - 1).bit_length())
+    at = (mix(members + _SEED) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of members that two sets differ in, from their parities; the longer ones are folded."""
+    if len(x) > len(y):
+        x, y = y, x
+    v = np.bitwise_xor.reduce(np.frombuffer(y, np.uint8).reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(v ^ np.frombuffer(x, np.uint8)).sum())
+
+
 def _named(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, h1, h2) for each text."""
+    """(id, n, h1, h2, par) for each text."""
 
     def each(batches):
         hashes = WordHashes()
         for batch in batches:
-            n, h1, h2 = _digests([_set_of(t, hashes, words) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2)], ["id", "n", "h1", "h2"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                lists = [_set_of(t, hashes, words) for t in part.column("text").to_pylist()]
+                n, h1, h2 = _digests(lists)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(parities, lists), pa.binary())], ["id", "n", "h1", "h2", "par"])
+
+    return docs.mapInArrow(each, "id bigint, n bigint, h1 bigint, h2 bigint, par binary")
 
-    return docs.mapInArrow(each, "id bigint, n bigint, h1 bigint, h2 bigint")
 
+def _node_texts(docs: DataFrame, words: int) -> DataFrame:
+    """(node, text): texts by the names of their sets."""
 
-def _members(docs: DataFrame, words: int) -> DataFrame:
     def each(batches):
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                lists = [_set_of(t, hashes, words) for t in batch.column("text").slice(at, 200).to_pylist()]
-                ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(lists)[1]), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists).view(np.int64)))], ["id", "members"])
+                texts = batch.column("text").slice(at, 200)
+                yield pa.RecordBatch.from_arrays([pa.array(_digests([_set_of(t, hashes, words) for t in texts.to_pylist()])[1]), texts], ["node", "text"])
 
-    return docs.mapInArrow(each, "id bigint, members array<bigint>")
+    return docs.mapInArrow(each, "node bigint, text string")
 
 
 def _packed(docs: DataFrame, words: int, over: int, under: int, buckets: int) -> DataFrame:
@@ -205,12 +235,42 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(each, "sig bigint, id bigint, lead bigint")
 
 
-def _verify(pairs: DataFrame, members: DataFrame, over: int, under: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
-    left = members.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    right = members.select(F.col("id").alias("a"), F.col("members").alias("ma"))
-    met = pairs.join(left, "b").join(right, "a").withColumn("both", F.size(F.array_intersect("ma", "mb")).cast("bigint"))
-    return met.filter(F.col("both") * under >= (F.size("ma") + F.size("mb") - F.col("both")) * over).select("a", "b").distinct()
+def _alike(both: int, na: int, nb: int, over: int, under: int) -> bool:
+    return both * under >= (na + nb - both) * over
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, over: int, under: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities do not rule out that they are alike; none that is alike is lost."""
+    side = lambda c: classes.select(F.col("h1").alias(c), F.col("n").alias("n" + c), F.col("par").alias("p" + c))
+    fits = F.least("na", "nb") * under >= F.greatest("na", "nb") * over
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b", "na", "nb", "pa", "pb")
+
+    def each(batches):
+        for batch in batches:
+            found = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "pa", "pb"))):
+                found.append(_alike((na + nb - apart(x, y)) // 2, na, nb, over, under))
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    return met.mapInArrow(each, "a bigint, b bigint").distinct()
+
+
+def _verify(pairs: DataFrame, node_texts: DataFrame, words: int, over: int, under: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike enough; pairs of one a follow each other, so its set is made once."""
+    side = lambda c: node_texts.select(F.col("node").alias(c), F.col("text").alias("t" + c))
+
+    def each(batches):
+        hashes, last, own = WordHashes(), None, None
+        for batch in batches:
+            found = []
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb").to_pylist()):
+                if a != last:
+                    last, own = a, _set_of(x.as_py(), hashes, words)
+                other = _set_of(y, hashes, words)
+                found.append(_alike(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other), over, under))
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, over: int = OVER, under: int = UNDER, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,23 +283,30 @@ def join(docs: DataFrame, over: int = OVER, under: int = UNDER, words: int = WOR
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     seen = materialize(_named(texts, words))
     named = seen.filter("n > 0 and id is not null")
-    classes = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id")))
+    classes = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.first("par").alias("par")))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = materialize(_shared(_packed(texts.filter("id is not null"), words, over, under, buckets), buckets).distinct())
-    wanted = classes.select(F.col("h1").alias("node"), "class_id").join(keys.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select(F.col("class_id").alias("id")).distinct()
-    members = materialize(_members(texts.join(wanted, "id", "left_semi"), words))
-    links = materialize(_verify(keys.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), members, over, under))
+
+    def check(pairs: DataFrame, one_each: bool) -> DataFrame:
+        pairs = _possible(pairs, classes, over, under)
+        pairs = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")) if one_each else pairs)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+        wanted = classes.join(nodes, "h1", "left_semi").select(F.col("class_id").alias("id")).distinct()
+        node_texts = _node_texts(texts.join(wanted, "id", "left_semi"), words)
+        return materialize(_verify(pairs, materialize(node_texts.join(nodes.withColumnRenamed("h1", "node"), "node", "left_semi")), words, over, under))
+
+    links = check(keys.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), True)
     for last in (False, True):
         roots = components(links).withColumnRenamed("node", "id")
         placed = keys.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-        apart = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("id", "root"), F.xxhash64("id", "root")).alias("lead")).filter("lo <> hi")
-        left = materialize(placed.join(apart.select("sig", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "sig"))
+        split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("id", "root"), F.xxhash64("id", "root")).alias("lead")).filter("lo <> hi")
+        left = materialize(placed.join(split.select("sig", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "sig"))
         if last:
             x, y = left.select("sig", F.col("id").alias("a"), F.col("root").alias("ra")), left.select("sig", F.col("id").alias("b"), F.col("root").alias("rb"))
             pairs = x.join(y, "sig").filter("a < b and ra <> rb").select("a", "b").distinct()
         else:
             pairs = left.filter("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        links = materialize(links.unionByName(_verify(pairs, members, over, under)).distinct())
+        links = links.unionByName(check(pairs, False)).distinct()
     roots = components(links).withColumnRenamed("node", "h1")
     joined = classes.join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     smallest = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
