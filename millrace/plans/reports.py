@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.frames import STOP, SYNC_TICK
+from millrace.operators.frames import FULL_PACKET, STOP, SYNC_TICK, playback
 
 
 def command_counts(commands: DataFrame) -> DataFrame:
@@ -25,3 +25,28 @@ def tick_range(commands: DataFrame) -> DataFrame:
 
 def tick_changes(commands: DataFrame, slot: str, kinds: tuple[int, ...]) -> DataFrame:
     return commands.filter(F.col("cmd").isin(*kinds)).groupBy("tick").agg(F.count(F.lit(1)).alias("updates"), F.count_distinct(slot).alias("ents"))
+
+
+def compression(commands: DataFrame) -> DataFrame:
+    """Sizes of all commands and of compressed ones; ratios are null where nothing was decoded."""
+    squeezed = lambda c: F.coalesce(F.sum(F.when(F.col("compressed"), F.col(c))), F.lit(0))
+    sums = commands.agg(
+        F.coalesce(F.sum("encoded_size"), F.lit(0)).alias("total_encoded_bytes"), F.coalesce(F.sum("decoded_size"), F.lit(0)).alias("total_decoded_bytes"),
+        F.count_if("compressed").alias("compressed_commands"), squeezed("encoded_size").alias("compressed_encoded_bytes"), squeezed("decoded_size").alias("compressed_decoded_bytes"),
+    )
+    saved = F.col("compressed_decoded_bytes") - F.col("compressed_encoded_bytes")
+    return sums.withColumns({"compressed_bytes_saved": saved, "compressed_ratio": F.try_divide("compressed_encoded_bytes", "compressed_decoded_bytes")})
+
+
+def inspection(commands: DataFrame) -> DataFrame:
+    """One row for each demo: numbers of commands, tick ranges of the file and of playback, first stop, what follows it, unknown commands."""
+    first_stop = commands.groupBy("demo_id").agg(F.min(F.when(F.col("cmd") == STOP, F.col("idx"))).alias("first_stop_command"))
+    seen = F.when(F.col("tick") >= 0, F.col("tick"))
+    whole = commands.join(first_stop, "demo_id").groupBy("demo_id", "first_stop_command").agg(
+        F.count(F.lit(1)).alias("commands"), F.min(seen).alias("first_tick"), F.max(seen).alias("last_tick"), F.count_distinct(seen).alias("distinct_ticks"),
+        F.count_if(F.col("cmd") == SYNC_TICK).alias("sync_points"), F.coalesce(F.count_if(F.col("idx") > F.col("first_stop_command")), F.lit(0)).alias("commands_after_stop"),
+        F.count_if(~F.col("cmd").between(0, 18)).alias("unknown_commands"),
+    )
+    played = playback(commands)
+    ranges = played.groupBy("demo_id").agg(F.min("tick").alias("playback_first"), F.max("tick").alias("playback_last"), F.count_distinct("tick").alias("playback_ticks"), F.count_if(F.col("cmd") == FULL_PACKET).alias("seek_points"))
+    return whole.join(ranges, "demo_id", "left")
