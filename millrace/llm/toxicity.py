@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +128,12 @@ class Tagger:
         return score, np.split(p, np.cumsum(sizes)[:-1])
 
 
-def lexicon(docs: list[list[bytes]], toxic: np.ndarray, share: float = 0.25, least: float = 15.0) -> set[bytes]:
-    """Words whose likelihood ratio is at least `least` and a share of the largest, more frequent in toxic documents."""
+def lexicon(docs: list[list[bytes]], toxic: np.ndarray, false: float = 0.05) -> set[bytes]:
+    """Words over twice as frequent in toxic documents whose likelihood ratio is significant: of those returned, a share `false` is expected to be there by chance.
+
+    The k smallest chances are taken for the largest k whose k-th is at most false * k / words (Benjamini and Hochberg), so strong words never
+    shut out weak ones, such as those of a language with few rows.
+    """
     inside, outside = Counter(), Counter()
     for words, y in zip(docs, toxic):
         (inside if y else outside).update(set(words))
@@ -140,8 +145,11 @@ def lexicon(docs: list[list[bytes]], toxic: np.ndarray, share: float = 0.25, lea
             q = (k1 + k0) / (n1 + n0)
             term = lambda k, n: (k * np.log(k / n / q) if k else 0) + ((n - k) * np.log((1 - k / n) / (1 - q)) if k < n else 0)
             ratio[w] = 2 * (term(k1, n1) + term(k0, n0)) if q < 1 else 0
-    top = max(ratio.values(), default=0)
-    return {w for w, x in ratio.items() if x >= max(least, share * top)}
+    tested = len(inside.keys() | outside.keys())
+    ranked = sorted(ratio.values(), reverse=True)
+    bounds = (NormalDist().inv_cdf(false * k / tested / 2) ** 2 for k in range(1, len(ranked) + 1))
+    least = min((x for x, bound in zip(ranked, bounds) if x >= bound), default=np.inf)
+    return {w for w, x in ratio.items() if x >= least}
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, rounds: int = 30) -> Tagger:

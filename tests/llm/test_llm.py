@@ -181,3 +181,12 @@ def test_decontamination_edges(spark):
     got = decontamination.decontaminate(docs, bench).collect()
     assert len(got) == len(rows) and any(r.contaminated for r in got)
     assert decontamination.decontaminate(empty(spark), bench).count() == 0
+
+
+def test_lexicon_keeps_words_of_small_languages():
+    rnd = random.Random(3)
+    docs = [[f"e{rnd.randrange(500)}".encode() for _ in range(30)] + [b"idiot"] * (i < 300) for i in range(1500)]
+    docs += [[f"d{rnd.randrange(500)}".encode() for _ in range(30)] + [b"dummkopf"] * (i < 20) for i in range(200)]
+    toxic = np.array([i < 300 for i in range(1500)] + [i < 20 for i in range(200)], float)
+    found = toxicity.lexicon(docs, toxic)
+    assert {b"idiot", b"dummkopf"} <= found and len(found) <= 4
