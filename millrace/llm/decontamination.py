@@ -49,6 +49,10 @@ def bit_words(windows: DataFrame, bits: int = BITS) -> str:
     return "[" + ",".join(map(str, out)) + "]"
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """(id, text_hash, n_words, copies, spans, items) for every distinct pair of id and text: spans are (start, n) of matched windows."""
     bitmap = F.from_json(F.lit(bit_words(windows, bits)), "array<bigint>")
@@ -59,7 +63,7 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, window
         at = F.pmod(h, F.lit(bits))
         return F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), (at.bitwiseAND(F.lit(63))).cast("int")) == 1
 
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), mark_words(F.col(text_col)).alias("w"))
+    base = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("text_hash"), mark_words(F.col(text_col)).alias("w"))
     base = base.withColumn("g", gram_hashes(F.col("w"), gram))
     per = window - gram + 1
 
@@ -109,6 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text and more) that hold no window of the benchmark; null ids are kept where their text is clean."""
-    bad = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of docs (doc_id, text and more) that hold no window of the benchmark; rows that share an id, or a null id, are kept or dropped by their own text."""
+    windows = materialize(windows_of(benchmark, "item_id", "text"))
+    bad = hits(docs, windows, "doc_id", "text").filter(F.size("spans") > 0).select(F.col("id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (text_hash(F.col("text")) == F.col("bad_hash")), "left_anti")

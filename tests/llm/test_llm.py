@@ -190,3 +190,11 @@ def test_lexicon_keeps_words_of_small_languages():
     toxic = np.array([i < 300 for i in range(1500)] + [i < 20 for i in range(200)], float)
     found = toxicity.lexicon(docs, toxic)
     assert {b"idiot", b"dummkopf"} <= found and len(found) <= 4
+
+
+def test_clean_drops_rows_by_their_own_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(None, f"before {item} after"), (None, "clean one"), (None, None), (1, item), (1, "clean two"), (1, "clean two"), (2, ""), (3, item.upper())]
+    bench = spark.createDataFrame([("q", item)], "item_id string, text string")
+    got = decontamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, "clean one"), (None, None), (1, "clean two"), (1, "clean two"), (2, "")])
