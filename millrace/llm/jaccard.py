@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.storage import materialize
-from millrace.llm.text import WordHashes, mix, shingles, split_words
+from millrace.llm.text import SPACES, WordHashes, mix, shingles, split_words
 
 #: Numerator and denominator of the likeness, words of a shingle.
 OVER, UNDER, WORDS = 90, 100, 3
@@ -126,7 +126,8 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def _named(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, h1, h2, par) for each text."""
+    """(id, n, h1, h2, par) for each text, and key where docs have it."""
+    extra = [c for c in docs.columns if c == "key"]
 
     def each(batches):
         hashes = WordHashes()
@@ -135,9 +136,9 @@ def _named(docs: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 200)
                 lists = [_set_of(t, hashes, words) for t in part.column("text").to_pylist()]
                 n, h1, h2 = _digests(lists)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(parities, lists), pa.binary())], ["id", "n", "h1", "h2", "par"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(parities, lists), pa.binary()), *map(part.column, extra)], ["id", "n", "h1", "h2", "par", *extra])
 
-    return docs.mapInArrow(each, "id bigint, n bigint, h1 bigint, h2 bigint, par binary")
+    return docs.mapInArrow(each, "id bigint, n bigint, h1 bigint, h2 bigint, par binary" + "".join(f", {c} bigint" for c in extra))
 
 
 def _node_texts(docs: DataFrame, words: int) -> DataFrame:
@@ -273,15 +274,9 @@ def _verify(pairs: DataFrame, node_texts: DataFrame, words: int, over: int, unde
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
-def join(docs: DataFrame, over: int = OVER, under: int = UNDER, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, class_id, component_id) for every row of docs: links are 100 * |A and B| >= 90 * |A or B| on sets of shingles.
-
-    class_id is the smallest id with an equal set. A null or empty text has an empty set and stands alone, as does a row with a null id
-    (both ids null then). Rows that share an id but not a set are apart. An empty table gives no rows; other columns are left alone.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    seen = materialize(_named(texts, words))
+def _classes(texts: DataFrame, seen: DataFrame, over: int, under: int, words: int) -> DataFrame:
+    """(n, h1, h2, class_id, root, component_id) for each set in seen(id, n, h1, h2, par) of texts(id, text); sets of a component share a root."""
+    spark = texts.sparkSession
     named = seen.filter("n > 0 and id is not null")
     classes = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.first("par").alias("par")))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -310,16 +305,36 @@ def join(docs: DataFrame, over: int = OVER, under: int = UNDER, words: int = WOR
     roots = components(links).withColumnRenamed("node", "h1")
     joined = classes.join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     smallest = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    joined = joined.join(smallest, "root").select("n", "h1", "h2", "class_id", "component_id")
+    return joined.join(smallest, "root").select("n", "h1", "h2", "class_id", "root", "component_id")
+
+
+def join(docs: DataFrame, over: int = OVER, under: int = UNDER, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, class_id, component_id) for every row of docs: links are 100 * |A and B| >= 90 * |A or B| on sets of shingles.
+
+    class_id is the smallest id with an equal set. A null or empty text has an empty set and stands alone, as does a row with a null id
+    (both ids null then). Rows that share an id but not a set are apart. An empty table gives no rows; other columns are left alone.
+    """
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    seen = materialize(_named(texts, words))
+    named = seen.filter("n > 0 and id is not null")
+    joined = _classes(texts, seen, over, under, words).drop("root")
     out = named.join(joined, ["n", "h1", "h2"]).select("id", "n", "class_id", "component_id")
     alone = seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, over: int = 80, under: int = 100, words: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs with the smallest id of each component, one row each; rows without words or without an id stay."""
-    found = join(docs, over, under, words, id_col).filter(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
-    named = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.filter(F.col(id_col).isNull()))
+    """The rows of docs with the smallest id of each component, one row each; rows without words or without an id stay.
+
+    Rows that share an id but not a set are in components of their own. Of a component's rows with the smallest id the same one stays in any order.
+    """
+    own, key = F.col(id_col).cast("bigint"), F.xxhash64(*docs.columns)
+    texts = docs.select(own.alias("id"), "text")
+    seen = materialize(_named(docs.select(own.alias("id"), "text", key.alias("key")), words))
+    firsts = seen.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "key")).alias("first"))
+    met = _classes(texts, seen, over, under, words).select("n", "h1", "h2", "root").join(firsts, ["n", "h1", "h2"])
+    keep = met.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("keep_id"), F.col("first.key").alias("keep_key"))
+    judged = own.isNotNull() & (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))) > 0)
+    kept = docs.filter(judged).join(keep, (own == F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
+    once = kept.withColumn("__key", key).dropDuplicates([id_col, "__key"]).drop("__key")
+    return once.unionByName(docs.filter(~judged))

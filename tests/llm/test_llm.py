@@ -198,3 +198,12 @@ def test_clean_drops_rows_by_their_own_text(spark):
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
     got = decontamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert Counter(map(tuple, got)) == Counter([(None, "clean one"), (None, None), (1, "clean two"), (1, "clean two"), (2, "")])
+
+
+def test_deduplicate_judges_rows_of_one_id_by_their_sets(spark):
+    rnd = random.Random(6)
+    new = lambda: " ".join(f"z{rnd.randrange(10**6)}" for _ in range(80))
+    a, b, c, d, e = (new() for _ in range(5))
+    rows = [(5, a + " end"), (7, a), (7, b), (8, b), (9, c), (9, d), (9, e), (9, d), (10, ""), (10, None), (None, a), (None, a)]
+    got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(5, a + " end"), (7, b), (9, c), (9, d), (9, e), (10, ""), (10, None), (None, a), (None, a)])
