@@ -3,7 +3,7 @@
 Seeds are runs of K words; of every WINDOW consecutive ones the smallest hash is kept, so any K + WINDOW - 1 equal words share a seed. Each occurrence of a
 seed meets the seed's first one (smallest id and place), so a passage in many documents gives a row for each and not one for each pair. Matches of two
 documents are chained in order on both sides: a Fenwick tree over the other side's places holds the best chain so far, and the cost of a gap grows with its
-length. Words between seeds are aligned, ends are extended, and chains are cut where the words between disagree. Spans of a document that
+length; if that one ends too far away, the best within the gap counts. Words between seeds are aligned, ends are extended across a few other words, and chains are cut where the words between disagree. Spans of a document that
 touch are taken together, whoever shares them, and count if they are LEAST words long.
 """
 
@@ -20,6 +20,8 @@ from millrace.llm.storage import materialize
 from millrace.llm.text import WordHashes, shingles, split_words
 
 K, WINDOW, LEAST, GAP = 8, 8, 50, 30
+#: Words that differ, at an alignment's ends, up to which as many equal ones carry on.
+SLIP = 4
 COST = 0.05
 
 
@@ -46,11 +48,15 @@ def chains(matches: list[tuple[int, int]], k: int = K, gap: int = GAP, cost: flo
             while at > 0:
                 best = max(best, tree[at])
                 at -= at & -at
+            near = lambda m: x - matches[m][0] <= gap + k and 0 < y - matches[m][1] <= gap + k
+            if best[1] >= 0 and not near(best[1]):  # the best of all is too far: the best of those within the gap
+                since = bisect_left(matches, (x - gap - k,))
+                best = max(((score[m] + cost * sum(matches[m]), m) for m in range(since, i) if near(m)), default=(-1e18, -1))
             score[j] = float(k)
             if best[1] >= 0:
                 px, py = matches[best[1]]
                 gain = best[0] - cost * (x + y)
-                if gain > 0 and x - px <= gap + k and y - py <= gap + k:
+                if gain > 0:
                     score[j], back[j] = gain + min(k, x - px, y - py), best[1]
             j += 1
         for m in range(i, j):
@@ -81,6 +87,34 @@ def agreement(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _equal_run(a: np.ndarray, b: np.ndarray, x: int, y: int) -> int:
+    """How many words are equal from places x and y on."""
+    at, most = 0, min(len(a) - x, len(b) - y)
+    while at < most:
+        n = min(256, most - at)
+        off = np.flatnonzero(a[x + at : x + at + n] != b[y + at : y + at + n])
+        if len(off):
+            return at + int(off[0])
+        at += n
+    return at
+
+
+def extension(a: np.ndarray, b: np.ndarray, slip: int = SLIP) -> tuple[int, int, int]:
+    """(words of a, words of b, equal words) that agree from the start: equal runs, across at most `slip` other words where `slip` equal ones follow."""
+    slips = sorted(((i, j) for i in range(slip + 1) for j in range(slip + 1) if i or j), key=lambda s: (max(s), sum(s)))
+    x = y = same = 0
+    while True:
+        n = _equal_run(a, b, x, y)
+        x, y, same = x + n, y + n, same + n
+        for i, j in slips:
+            if x + i + slip <= len(a) and y + j + slip <= len(b) and np.array_equal(a[x + i : x + i + slip], b[y + j : y + j + slip]):
+                same += agreement(a[x : x + i], b[y : y + j])
+                x, y = x + i, y + j
+                break
+        else:
+            return x, y, same
+
+
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int = K) -> list[tuple[int, int, int, int, int]]:
     """Passages (start, end, other start, other end, equal words) along a chain, cut where fewer than half the words of a gap agree."""
     out = []
@@ -98,11 +132,9 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int = K
     out.append((s, x, t, y, same))
     whole = []
     for s, x, t, y, same in out:
-        while s > 0 and t > 0 and a[s - 1] == b[t - 1]:
-            s, t, same = s - 1, t - 1, same + 1
-        while x < len(a) and y < len(b) and a[x] == b[y]:
-            x, y, same = x + 1, y + 1, same + 1
-        whole.append((s, x, t, y, same))
+        left, other_left, more = extension(a[:s][::-1], b[:t][::-1])
+        right, other_right, still_more = extension(a[x:], b[y:])
+        whole.append((s - left, x + right, t - other_left, y + other_right, same + more + still_more))
     return whole
 
 

@@ -207,3 +207,17 @@ def test_deduplicate_judges_rows_of_one_id_by_their_sets(spark):
     rows = [(5, a + " end"), (7, a), (7, b), (8, b), (9, c), (9, d), (9, e), (9, d), (10, ""), (10, None), (None, a), (None, a)]
     got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == Counter([(5, a + " end"), (7, b), (9, c), (9, d), (9, e), (10, ""), (10, None), (None, a), (None, a)])
+
+
+def test_passages_find_all_fuzzy_ones_of_a_pair(spark):
+    rnd = random.Random(12)
+    new = lambda n: [f"u{rnd.randrange(10**6)}" for _ in range(n)]
+    first, second, third = new(100), new(60), new(54)
+    fuzzy = second[:28] + new(3) + second[31:]
+    ends = third[:5] + new(1) + third[6:47] + new(2) + third[49:]
+    one = first + new(100) + second + new(200) + third + new(10)
+    two = new(20) + first + new(100) + fuzzy + new(200) + ends + new(30)
+    rows = [(1, " ".join(one)), (2, " ".join(two))]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.start, r.end, r.n_equal) for r in got) == [(20, 120, 100), (220, 280, 57), (480, 534, 51)]
+    assert [len(c) for c in passages.chains([(x, x) for x in range(0, 400, 4)] + [(x + 100, x + 100) for x in range(400, 440, 4)])] == [100, 10]
