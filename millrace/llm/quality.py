@@ -1,18 +1,27 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 Trusted are documents labelled of good quality. Counts, continuation counts and discounts come from all of them by grouped counts; texts meet their
-pairs' chances by a join. A document is kept if its perplexity is at most its language's quantile over all documents.
+pairs' chances by a join. A document is kept if its perplexity is at most its language's threshold.
+
+Thresholds come from labelled documents that the counts leave out (HELD_OUT): a language's is where trusted and poor ones part best. Without
+both kinds, the limit of all languages holds; without any, the quantile of the language's documents.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.ngrams import pairs, text_key, text_sums
 from millrace.llm.storage import materialize
 
+#: Used only where no held-out labels of both kinds are.
 QUANTILE = 0.97
+#: A third of the labelled documents.
+HELD_OUT = "pmod(crc32(coalesce(cast({0} as string), '')), 3) = 1"
+#: Steps of log perplexity in which held-out documents are counted.
+STEPS = 100
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -22,6 +31,23 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return each(1, n[0], n[1]), each(2, n[1], n[2]), each(3, n[2], n[3])
 
 
+def parting(counts: dict[int, tuple[int, int]]) -> int | None:
+    """The step up to which documents are kept, from counts of (poor, trusted) ones by step: the largest sum of the shares of poor ones above and trusted ones up to it.
+
+    Of equal ones the middle. None without both kinds.
+    """
+    poor, good = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    if not poor or not good:
+        return None
+    best, found, p, g, order = -1.0, [], 0, 0, sorted(counts)
+    for k, step in enumerate(order):
+        p, g = p + counts[step][0], g + counts[step][1]
+        value = g * poor - p * good
+        if value > best:
+            best, found = value, [step, order[k + 1] - 1 if k + 1 < len(order) else step]
+    return sum(found) // 2 if found else order[-1]
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, keep) for every row of docs(doc_id, text, lang).
 
@@ -29,7 +55,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     row; other columns are left alone.
     """
     base = docs.select("doc_id", "lang", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    trusted = labels.filter("quality = 1").select("doc_id").distinct()
+    marked = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    trusted = marked.filter("quality = 1").filter(~F.expr(HELD_OUT.format("doc_id"))).select("doc_id")
     rows = pairs(base)
     train = materialize(pairs(base.join(trusted, "doc_id", "left_semi")).groupBy("ctx", "word").agg(F.sum("n").alias("c")))
     times = lambda i: F.coalesce(F.count_if(F.col("c") == i), F.lit(0)).alias(f"n{i}")
@@ -45,5 +72,19 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     chance = F.when(F.col("all").isNull(), lower).otherwise(F.coalesce(F.greatest(F.col("c") - cut, F.lit(0.0)), F.lit(0.0)) / F.col("all") + F.col("freed") / F.col("all") * lower)
     out = text_sums(rows, seen.select("ctx", "word", F.ln(chance).alias("lp")), {"total": F.sum(F.col("n") * F.col("lp"))}, base.select("doc_id", "lang", "key"))
     out = materialize(out.select("doc_id", "lang", "n_tokens", F.exp(-F.col("total") / F.col("n_tokens")).alias("perplexity")))
-    limits = out.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")).withColumnRenamed("lang", "l")
+    step = F.floor(F.ln("perplexity") * STEPS).cast("int")
+    tested = out.join(marked.filter(HELD_OUT.format("doc_id")), "doc_id").groupBy("lang", step.alias("step")).agg(F.count_if(F.col("quality") == 0).alias("poor"), F.count_if(F.col("quality") == 1).alias("good"))
+    by_lang: dict[str | None, dict[int, tuple[int, int]]] = {}
+    whole: dict[int, tuple[int, int]] = {}
+    for r in tested.collect():  # languages by steps at most
+        by_lang.setdefault(r["lang"], {})[r["step"]] = (r["poor"], r["good"])
+        p, g = whole.get(r["step"], (0, 0))
+        whole[r["step"]] = (p + r["poor"], g + r["good"])
+    known, common = {lang: parting(c) for lang, c in by_lang.items()}, parting(whole)
+    above = lambda at: float(np.exp((at + 1) / STEPS))
+    limits = out.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("quantile")).withColumnRenamed("lang", "l")
+    rows = [(lang, above(at)) for lang, at in known.items() if at is not None]
+    given = docs.sparkSession.createDataFrame(rows, "g string, given double")
+    other = F.lit(None if common is None else above(common)).cast("double")
+    limits = limits.join(F.broadcast(given), F.col("l").eqNullSafe(F.col("g")), "left").select("l", F.coalesce("given", other, "quantile").alias("threshold"))
     return out.join(limits, F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", "lang", "n_tokens", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))

@@ -221,3 +221,14 @@ def test_passages_find_all_fuzzy_ones_of_a_pair(spark):
     got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.start, r.end, r.n_equal) for r in got) == [(20, 120, 100), (220, 280, 57), (480, 534, 51)]
     assert [len(c) for c in passages.chains([(x, x) for x in range(0, 400, 4)] + [(x + 100, x + 100) for x in range(400, 440, 4)])] == [100, 10]
+
+
+def test_quality_rejects_as_many_as_labels_call_poor(spark):
+    rnd = random.Random(8)
+    text = lambda kind: " ".join(f"{kind}{rnd.randrange(40)}" for _ in range(60))
+    poor = lambda i: i % 4 == 0
+    docs = spark.createDataFrame([(i, text(f"p{i}x" if poor(i) else "g"), "en" if i < 200 else None) for i in range(240)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(not poor(i))) for i in range(160)], "doc_id long, quality int")
+    got = quality.judge(docs, labels).collect()
+    assert len(got) == 240 and all(r.keep != poor(r.doc_id) for r in got)
+    assert quality.parting({1: (0, 5), 4: (5, 0)}) == 2 and quality.parting({1: (0, 5)}) is None
