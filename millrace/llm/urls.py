@@ -16,8 +16,8 @@ from millrace.llm.text import lower_ascii
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-CANONICAL = r"""<link[^>]+rel=["']?canonical["']?[^>]*>"""
-REFRESH = r"""<meta[^>]+http-equiv=["']?refresh["']?[^>]*>"""
+CANONICAL = r"""(?i)<link[^>]+rel\s*=\s*["']?canonical["']?[^>]*>"""
+REFRESH = r"""(?i)<meta[^>]+http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
 _AFTER = r"(?s)^.*?://"
 
 
@@ -48,13 +48,32 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return out
 
 
+def resolve(url: Column, target: Column) -> Column:
+    """The whole URL that target, found on the page at url, names; null for one without a host, such as mailto:, for a place on the page (#), and on a page without a URL."""
+    scheme, host = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(_rest(url), r"^[^/?#]*", 0)
+    own = F.regexp_extract(target, r"^([^?#]*)", 1)
+    path = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(path_of(url), r"(?s)^(.*/)?", 0), own))
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+    step = lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    parts = F.aggregate(F.split(F.regexp_replace(path, r"/\.(\.?)$", "/.$1/"), "/"), F.array().cast("array<string>"), step)
+    path = F.when(own == "", path_of(url)).otherwise(F.array_join(parts, "/"))
+    return (
+        F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.rlike(r"(?i)^([a-z][a-z0-9+.-]*:|#|$)") | (host == ""), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .otherwise(F.concat(scheme, F.lit("://"), host, path, F.regexp_extract(target, r"(?s)[?#].*$", 0)))
+    )
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target) of canonical links and refreshes that name a whole URL."""
+    """(url, target) of canonical links and refreshes, whatever the case of their tags; relative targets are resolved against the page's url."""
     html = F.col(html_col)
-    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), r"""href=["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"""url=["']?([^"'\s>]+)""", 1)
-    found = pages.filter(html.contains("canonical") | html.contains("refresh")).select(F.col(url_col).alias("url"), F.explode(F.array(canonical, refresh)).alias("target"))
-    return found.filter(F.instr("target", "://") > 0)
+    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1)
+    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
+    found = pages.filter(html.rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("url"), F.explode(F.array(canonical, refresh)).alias("found"))
+    whole = found.select("url", resolve(F.col("url"), F.regexp_replace("found", "(?i)&(amp|#38|#x26);", "&")).alias("target"))
+    return whole.filter("target is not null")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -232,3 +232,18 @@ def test_quality_rejects_as_many_as_labels_call_poor(spark):
     got = quality.judge(docs, labels).collect()
     assert len(got) == 240 and all(r.keep != poor(r.doc_id) for r in got)
     assert quality.parting({1: (0, 5), 4: (5, 0)}) == 2 and quality.parting({1: (0, 5)}) is None
+
+
+def test_urls_follow_relative_and_loosely_written_links(spark):
+    link = lambda h: f'<link rel="canonical" href="{h}">'
+    pages = [
+        ("http://m.example.org/es/1", "<p>", "block"), ("http://s.net/a", '<LINK REL="CANONICAL" HREF="http://m.example.org/es/1">', "block"),
+        ("https://t.net/b", link("//m.example.org/es/1"), "block"), ("http://s.net/c/d.html?z=/", link("./../a"), "block"),
+        ("http://s.net/e?x", "<link href='/a' rel='canonical'>", "block"), ("http://s.net", link("a"), "block"),
+        ("http://w.net/", '<meta http-equiv="Refresh" content="0; URL=http://m.example.org/es/1">', "block"),
+        ("http://v.net/?p=1&q=2", "<p>", "block"), ("http://m.example.org/es/7", link("http://v.net/?p=1&amp;q=2"), "block"),
+        ("http://x.net/q/r", link("?p=http://m.example.org/es/1"), "allow"), ("http://y.net/1", link("mailto:a@m.example.org"), "allow"), ("none", link("/a"), "allow"), (None, link("/a"), "allow"),
+    ]
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(pages)]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == [p[2] for p in pages]
