@@ -23,22 +23,28 @@ from pyspark.sql import functions as F
 from millrace.llm.text import mix
 
 CHARS, SHARE = 10, 8
+#: Code points that are hashed at once, and bytes of rows that are gathered before they are handed on.
+BLOCK, HANDED = 1 << 18, 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sketch(text: str, chars: int = CHARS, share: int = SHARE) -> tuple[int, int, np.ndarray]:
     """(number of shingles, checksum, kept 32-bit hashes ascending)."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     check = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
     if not len(points):
         return 0, check, np.zeros(0, dtype=np.uint32)
     k = min(chars, len(points))
     n = len(points) - k + 1
-    h = np.full(n, np.uint64(k))
-    for i in range(k):
-        h = h * _BASE + points[i : i + n]
-    h = (mix(h) >> np.uint64(32)).astype(np.uint32)
-    return n, check, np.unique(h[h < np.uint32((1 << 32) // share)])
+    kept = []
+    for at in range(0, n, BLOCK):
+        size = min(BLOCK, n - at)
+        h = np.full(size, np.uint64(k))
+        for i in range(k):
+            h = h * _BASE + points[at + i : at + i + size]
+        h = (mix(h) >> np.uint64(32)).astype(np.uint32)
+        kept.append(np.unique(h[h < np.uint32((1 << 32) // share)]))
+    return n, check, kept[0] if len(kept) == 1 else merge(*kept)
 
 
 def merge(*sketches: np.ndarray) -> np.ndarray:
@@ -82,11 +88,18 @@ def fingerprint(docs: DataFrame, ranges: int | None = None, id_col: str = "doc_i
     ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
     def each(batches):
-        last = None
+        last, out, held = None, [], 0
+
+        def handed():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
         for batch in batches:
-            out = []
-            for tail, key, text in zip(batch.column("tail").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            tails, keys, texts = (batch.column(c) for c in ("tail", "id", "text"))
+            for at in range(batch.num_rows):  # a text at a time: a batch may hold ten thousand long ones
+                tail, key, text = tails[at].as_py(), keys[at].as_py(), texts[at].as_py()
                 own = sketch(text)
                 if last is not None:
                     k, t, s = last
@@ -94,10 +107,13 @@ def fingerprint(docs: DataFrame, ranges: int | None = None, id_col: str = "doc_i
                     edited = t[: len(t) - half] + text[:half]
                     e = sketch(edited)
                     out.append((k, len(t), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), as_string(s), as_string(e), likeness(s, e), likeness(s, own)))
+                    held += len(out[-1][3]) + len(out[-1][4])
                 last = None if tail else (key, text, own)
-            if out:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                if held > HANDED:
+                    yield handed()
+                    out, held = [], 0
+        if out:
+            yield handed()
 
     rows = with_next(docs, ranges, id_col, text_col).mapInArrow(each, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return rows.withColumnRenamed("id", id_col)

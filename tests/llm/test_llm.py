@@ -95,6 +95,31 @@ def test_toxicity_edges(spark):
     assert toxicity.judge(docs, labels.limit(0)).count() == len(rows)
 
 
+def direct_sketch(t):
+    """A fold over the text's shingles with whole numbers."""
+    mask, out = (1 << 64) - 1, set()
+    k = min(10, len(t))
+    for i in range(len(t) - k + 1 if t else 0):
+        h = k
+        for c in t[i : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask
+        h = (h ^ (h >> 32)) >> 32
+        if h < (1 << 32) // 8:
+            out.add(h)
+    return out
+
+
+def test_sketches_merge_over_blocks(monkeypatch):
+    text = "".join(random.Random(3).choice("abcdef ") for _ in range(5000))
+    whole = fingerprints.sketch(text)
+    monkeypatch.setattr(fingerprints, "BLOCK", 700)
+    assert np.array_equal(whole[2], fingerprints.sketch(text)[2]) and set(whole[2].tolist()) == direct_sketch(text)
+    parts = fingerprints.merge(fingerprints.sketch(text[:2600])[2], fingerprints.sketch(text[2591:])[2])
+    assert np.array_equal(parts, whole[2])
+
+
 def test_fingerprints_equal_a_fold(spark):
     docs, rows = corpus(spark)
     got = sorted(fingerprints.fingerprint(docs, ranges=5).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
@@ -105,7 +130,10 @@ def test_fingerprints_equal_a_fold(spark):
         half = len(t) // 2
         assert r.n_chars == len(t)
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
-        base64.b64decode(r.fingerprint.split(":")[2])
+        own, edited, after = (direct_sketch(x) for x in (t, t[: len(t) - half] + n[:half], n))
+        assert set(np.frombuffer(base64.b64decode(r.fingerprint.split(":")[2]), "<u4").tolist()) == own and r.fingerprint.startswith(f"{max(0, len(t) - 9) if len(t) >= 10 else min(1, len(t))}:")
+        like = lambda a, b, same: 1.0 if same else len(a & b) / min(len(a), len(b)) if a and b else 0.0
+        assert r.near_edited == like(own, edited, t == t[: len(t) - half] + n[:half]) and r.near_next == like(own, after, t == n)
     assert fingerprints.fingerprint(empty(spark)).count() == 0
 
 
