@@ -1,12 +1,16 @@
-"""Reading numbers from bit strings, least significant bit first."""
+"""Reading and writing numbers as bit strings, least significant bit first."""
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
+
 #: Fixed values of the formats: widths by the two selector bits of a variable number, and by the zeros before a path number's first one.
 UBITVAR_MORE = (0, 4, 8, 28)
 UBITVARFP_BITS = (2, 4, 10, 17, 31)
+COORD_WHOLE, COORD_PARTS, NORMAL_PARTS = 14, 5, 11
+F = np.float32
 
 
 class BitReader:
@@ -84,3 +88,96 @@ class BitReader:
                 raise ValueError(f"a string has over {most} bytes")
             out.append(byte)
         return bytes(out)
+
+    def whole(self, size: int) -> int:
+        """An unsigned number of `size` bytes."""
+        return self.bits(8 * size)
+
+    def seek(self, at: int) -> None:
+        if not 0 <= at <= self.end:
+            raise EOFError(f"place {at} is outside {self.end} bits")
+        self.at = at
+
+    def skip(self, n: int) -> None:
+        self.seek(self.at + n)
+
+    def bit_bytes(self, n: int) -> bytes:
+        """n bits as bytes; the last byte holds what is left in its low bits."""
+        return self.bits(n).to_bytes((n + 7) >> 3, "little")
+
+    def coord(self) -> np.float32:
+        """A coordinate: whole part (one more than it says), parts of 32, sign; neither part is zero."""
+        has_whole, has_parts = self.flag(), self.flag()
+        if not (has_whole or has_parts):
+            return F(0)
+        sign = F(-1 if self.flag() else 1)
+        out = F(self.bits(COORD_WHOLE) + 1) if has_whole else F(0)
+        return sign * (out + F(self.bits(COORD_PARTS)) * F(1 / 32) if has_parts else out)
+
+    def normal(self) -> np.float32:
+        sign = F(-1 if self.flag() else 1)
+        return sign * (F(self.bits(NORMAL_PARTS)) * F(1 / 2047))
+
+    def coords(self) -> list[np.float32]:
+        return [self.coord() if there else F(0) for there in [self.flag() for _ in range(3)]]
+
+    def normals(self) -> list[np.float32]:
+        """Two components and the sign of the third, which makes the length one."""
+        x, y = [self.normal() if there else F(0) for there in [self.flag() for _ in range(2)]]
+        sign, rest = self.flag(), F(1) - x * x - y * y
+        z = np.sqrt(rest) if rest > 0 else F(0)
+        return [x, y, -z if sign else z]
+
+    def angle(self, n: int) -> np.float32:
+        """Degrees from n bits, below 360."""
+        return F(self.bits(n)) * F(360) / F(1 << n)
+
+
+class BitWriter:
+    """The inverse of BitReader."""
+
+    def __init__(self):
+        self.value, self.at = 0, 0
+        self.done = bytearray()
+
+    def bits(self, value: int, n: int) -> BitWriter:
+        self.value |= (value & ((1 << n) - 1)) << self.at
+        self.at += n
+        if self.at >= 4096:
+            whole = self.at // 8
+            self.done += (self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.at -= 8 * whole
+        return self
+
+    def flag(self, value: bool) -> BitWriter:
+        return self.bits(int(value), 1)
+
+    def bytes(self, data: bytes) -> BitWriter:
+        return self.bits(int.from_bytes(data, "little"), 8 * len(data))
+
+    def uvarint(self, value: int) -> BitWriter:
+        while value > 127:
+            self.bits(value & 127 | 128, 8)
+            value >>= 7
+        return self.bits(value, 8)
+
+    def svarint(self, value: int) -> BitWriter:
+        return self.uvarint(2 * value if value >= 0 else -2 * value - 1)
+
+    def ubitvar(self, value: int) -> BitWriter:
+        which = next(i for i, more in enumerate(UBITVAR_MORE) if value < 1 << (4 + more))
+        return self.bits(value & 15 | which << 4, 6).bits(value >> 4, UBITVAR_MORE[which])
+
+    def ubitvarfp(self, value: int) -> BitWriter:
+        zeros = next(i for i, n in enumerate(UBITVARFP_BITS) if value < 1 << n)
+        return self.bits(1 << zeros if zeros < 4 else 0, min(zeros + 1, 4)).bits(value, UBITVARFP_BITS[zeros])
+
+    def float32(self, value: float) -> BitWriter:
+        return self.bytes(struct.pack("<f", value))
+
+    def text(self, value: bytes) -> BitWriter:
+        return self.bytes(value + b"\0")
+
+    def data(self) -> bytes:
+        return bytes(self.done) + self.value.to_bytes((self.at + 7) >> 3, "little")

@@ -16,16 +16,15 @@ LAST_TICK = 2147483647
 
 def playback(commands: DataFrame) -> DataFrame:
     """Commands after a demo's first sync tick and before its first stop, without sync ticks."""
-    whole = W.partitionBy("demo_id")
-    bounds = commands.withColumn("__sync", F.min(F.when(F.col("cmd") == SYNC_TICK, F.col("idx"))).over(whole)).withColumn("__stop", F.min(F.when(F.col("cmd") == STOP, F.col("idx"))).over(whole))
+    bounds = commands.groupBy("demo_id").agg(F.min(F.when(F.col("cmd") == SYNC_TICK, F.col("idx"))).alias("__sync"), F.min(F.when(F.col("cmd") == STOP, F.col("idx"))).alias("__stop"))
     kept = (F.col("idx") > F.col("__sync")) & (F.col("__stop").isNull() | (F.col("idx") < F.col("__stop"))) & (F.col("cmd") != SYNC_TICK)
-    return bounds.filter(kept).drop("__sync", "__stop")
+    return commands.join(bounds, "demo_id").filter(kept).drop("__sync", "__stop")
 
 
 def tick_starts(commands: DataFrame) -> DataFrame:
-    """The first row of every run of equal ticks."""
+    """The first row of every run of equal ticks. Negative ticks are none and do not end a run."""
     before = F.lag("tick").over(W.partitionBy("demo_id").orderBy("idx"))
-    return commands.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__before") != F.col("tick"))).drop("__before")
+    return commands.filter("tick >= 0").withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__before") != F.col("tick"))).drop("__before")
 
 
 def keyframes(commands: DataFrame) -> DataFrame:
