@@ -6,8 +6,10 @@ are hashes of segments and of their one-deletion neighbours; how many segments c
 that share a signature are candidates and are verified on their whole sets.
 
 Equal sets are one class before anything else. A signature's sets are compared with one of them, links are contracted, and only signatures
-whose sets are then still apart are gone through again, the last time pair by pair. So groups of copies never make all pairs. A pair's sizes
-and parities of cells are compared first: they give a bound that no pair of alike sets fails; texts travel for the others alone.
+whose sets are then still apart are gone through again, the last time pair by pair, each pair by its sizes and the parities of 256 cells first: they
+give a bound that no pair of alike sets fails. Texts travel for pairs that pass it, and the finer parities of all cells, alone.
+
+How many segments a band has is chosen for the number of sets that it really holds, so that strangers meet as rarely in large corpora as in small ones.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
@@ -25,8 +27,10 @@ from millrace.llm.text import SPACES, WordHashes, mix, shingles, split_words
 
 #: Numerator and denominator of the likeness, words of a shingle.
 OVER, UNDER, WORDS = 90, 100, 3
-#: For the choice of segments: sets of a band that a signature may meet by chance, and how likely two strange sets share a member.
-STRANGERS, SHARED = 1_000, 0.01
+#: For the choice of segments: how likely two strange sets share a member.
+SHARED = 0.01
+#: Cells of the parities that join conditions compare, as 64-bit numbers.
+FOLDED = 4
 _SEED = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Signatures travel as 48 bits; what meets by chance is verified like the rest.
@@ -49,8 +53,9 @@ def bands(over: int, under: int, most: int = 1 << 40) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=None)
-def allocate(band: int, over: int, under: int) -> tuple[int, int, int]:
+def allocate(band: int, over: int, under: int, strangers: int = 1000) -> tuple[int, int, int]:
     """(segments, those among them that count double, poorest ones left out) for pairs whose larger set is in that band; zeros where only equal sets are alike.
+    strangers is how many sets the pairs' bands hold, as a power of two or so.
 
     With as many spare segments as are left out, some equal segment is kept by both sets: the richest of the equal ones (order: members, then
     hash) is among the poorest of neither, as all the equal ones would have to be. Empty segments, which strange sets share, go this way.
@@ -68,22 +73,27 @@ def allocate(band: int, over: int, under: int) -> tuple[int, int, int]:
             miss = low / m * (1 - (1 - SHARED) / m) ** (low - 1)
             common = (m - double) * alone
             common = max(0.0, common + 2 * common**0.5 - spare) if spare else common
-            cost = m - spare + double * top / m + STRANGERS * (common * alone + double * (alone + miss) ** 2)
+            cost = m - spare + double * top / m + strangers * (common * alone + double * (alone + miss) ** 2)
             if best is None or cost < best[0]:
                 best = (cost, m, double, spare)
     return best[1:]
 
 
+def _strangers(band: int, held: dict[int, int] | None) -> int:
+    """Sets in a band and the one below, rounded up to a power of two; a thousand where nothing is known."""
+    return 1000 if held is None else 1 << max(0, held.get(band, 0) + held.get(band - 1, 0) - 1).bit_length()
+
+
 def band_of(size: int, over: int, under: int) -> int:
     return int(np.searchsorted(bands(over, under), size, side="right")) - 1
 
 
-def signatures(members: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
-    """All signatures of a set of distinct 64-bit numbers, for pairs in which it is the larger or the smaller one."""
+def signatures(members: np.ndarray, over: int = OVER, under: int = UNDER, held: dict[int, int] | None = None) -> np.ndarray:
+    """All signatures of a set of distinct 64-bit numbers, for pairs in which it is the larger or the smaller one; held is the number of sets by band."""
     out = []
     own = band_of(len(members), over, under) if len(members) else 0
     for band in (own, own + 1) if len(members) else ():
-        m, double, spare = allocate(band, over, under)
+        m, double, spare = allocate(band, over, under, _strangers(band, held))
         if not m:
             continue
         seg = (mix(members ^ _SEED) % np.uint64(m)).astype(np.int64)
@@ -112,7 +122,7 @@ def _set_of(text: str | None, hashes: WordHashes, words: int) -> np.ndarray:
 
 def parities(members: np.ndarray) -> bytes:
     """A bit for each of a power of two of cells, no fewer than members: whether the cell holds an odd number of them."""
-    cells = max(64, 1 << (len(members) - 1).bit_length())
+    cells = max(64 * FOLDED, 1 << (len(members) - 1).bit_length())
     at = (mix(members + _SEED) & np.uint64(cells - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8)).tobytes()
 
@@ -125,8 +135,16 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(v ^ np.frombuffer(x, np.uint8)).sum())
 
 
+def folded(parity: bytes) -> np.ndarray:
+    """Parities of 64 * FOLDED cells as signed 64-bit numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, FOLDED), axis=0).view(np.int64)
+
+
+_QS = [f"q{i}" for i in range(FOLDED)]
+
+
 def _named(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, h1, h2, par) for each text, and key where docs have it."""
+    """(id, n, h1, h2, par, q0...) for each text, and key where docs have it."""
     extra = [c for c in docs.columns if c == "key"]
 
     def each(batches):
@@ -136,9 +154,12 @@ def _named(docs: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 200)
                 lists = [_set_of(t, hashes, words) for t in part.column("text").to_pylist()]
                 n, h1, h2 = _digests(lists)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(parities, lists), pa.binary()), *map(part.column, extra)], ["id", "n", "h1", "h2", "par", *extra])
+                par = [parities(x) for x in lists]
+                q = np.array([folded(x) for x in par], dtype=np.int64).reshape(-1, FOLDED)
+                columns = [part.column("id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(par, pa.binary()), *(pa.array(q[:, i]) for i in range(FOLDED)), *map(part.column, extra)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "par", *_QS, *extra])
 
-    return docs.mapInArrow(each, "id bigint, n bigint, h1 bigint, h2 bigint, par binary" + "".join(f", {c} bigint" for c in extra))
+    return docs.mapInArrow(each, "id bigint, n bigint, h1 bigint, h2 bigint, par binary" + "".join(f", {c} bigint" for c in [*_QS, *extra]))
 
 
 def _node_texts(docs: DataFrame, words: int) -> DataFrame:
@@ -154,7 +175,7 @@ def _node_texts(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(each, "node bigint, text string")
 
 
-def _packed(docs: DataFrame, words: int, over: int, under: int, buckets: int) -> DataFrame:
+def _packed(docs: DataFrame, words: int, over: int, under: int, buckets: int, held: dict[int, int]) -> DataFrame:
     """(bucket, sigs, nodes, runs): the signatures of many texts (48 bits each), the sets they belong to, and how many in a row each has."""
 
     def each(batches):
@@ -166,7 +187,7 @@ def _packed(docs: DataFrame, words: int, over: int, under: int, buckets: int) ->
                 for s, node in zip(lists, _digests(lists)[1]):
                     if node not in seen:
                         seen.add(node)
-                        sigs.append(signatures(s, over, under) & _LOW)
+                        sigs.append(signatures(s, over, under, held) & _LOW)
                         nodes.append(np.full(len(sigs[-1]), node, dtype=np.int64))
             if not sigs:
                 continue
@@ -274,13 +295,23 @@ def _verify(pairs: DataFrame, node_texts: DataFrame, words: int, over: int, unde
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
+def _bound(over: int, under: int) -> Column:
+    """Whether sizes na, nb and folded parities qa0..., qb0... leave it open that two sets are alike."""
+    differ = sum((F.bit_count(F.col(f"qa{i}").bitwiseXOR(F.col(f"qb{i}"))) for i in range(FOLDED)), F.lit(0))
+    both = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+    return (F.least("na", "nb") * under >= F.greatest("na", "nb") * over) & (both * under >= (F.col("na") + F.col("nb") - both) * over)
+
+
 def _classes(texts: DataFrame, seen: DataFrame, over: int, under: int, words: int) -> DataFrame:
     """(n, h1, h2, class_id, root, component_id) for each set in seen(id, n, h1, h2, par) of texts(id, text); sets of a component share a root."""
     spark = texts.sparkSession
     named = seen.filter("n > 0 and id is not null")
-    classes = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.first("par").alias("par")))
+    classes = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.first("par").alias("par"), *(F.first(q).alias(q) for q in _QS)))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = materialize(_shared(_packed(texts.filter("id is not null"), words, over, under, buckets), buckets).distinct())
+    edges = F.array(*map(F.lit, bands(over, under)))
+    sizes = classes.groupBy(F.size(F.filter(edges, lambda e: e <= F.col("n"))).alias("band")).count()
+    held = {r["band"] - 1: r["count"] for r in sizes.collect()}  # as many rows as bands
+    keys = materialize(_shared(_packed(texts.filter("id is not null"), words, over, under, buckets, held), buckets).distinct())
 
     def check(pairs: DataFrame, one_each: bool) -> DataFrame:
         pairs = _possible(pairs, classes, over, under)
@@ -297,8 +328,9 @@ def _classes(texts: DataFrame, seen: DataFrame, over: int, under: int, words: in
         split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("id", "root"), F.xxhash64("id", "root")).alias("lead")).filter("lo <> hi")
         left = materialize(placed.join(split.select("sig", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "sig"))
         if last:
-            x, y = left.select("sig", F.col("id").alias("a"), F.col("root").alias("ra")), left.select("sig", F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "sig").filter("a < b and ra <> rb").select("a", "b").distinct()
+            sized = left.select("sig", "id", "root").join(classes.select(F.col("h1").alias("id"), "n", *_QS), "id")
+            side = lambda c: sized.select("sig", F.col("id").alias(c), F.col("root").alias("r" + c), F.col("n").alias("n" + c), *(F.col(q).alias(f"q{c}{q[1:]}") for q in _QS))
+            pairs = side("a").join(side("b"), "sig").filter("a < b and ra <> rb").filter(_bound(over, under)).select("a", "b").distinct()
         else:
             pairs = left.filter("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         links = links.unionByName(check(pairs, False)).distinct()
