@@ -1,10 +1,14 @@
 """Fuzzy passages that documents share, by collinear chaining.
 
 Seeds are runs of K words; of every WINDOW consecutive ones the smallest hash is kept, so any K + WINDOW - 1 equal words share a seed. Each occurrence of a
-seed meets the seed's first one (smallest id and place), so a passage in many documents gives a row for each and not one for each pair. Matches of two
-documents are chained in order on both sides: a Fenwick tree over the other side's places holds the best chain so far, and the cost of a gap grows with its
-length; if that one ends too far away, the best within the gap counts. Words between seeds are aligned, ends are extended across a few other words, and chains are cut where the words between disagree. Spans of a document that
-touch are taken together, whoever shares them, and count if they are LEAST words long.
+seed meets the seed's first one (smallest id and place), so a passage in many documents gives a row for each and not one for each pair. This is
+done twice: among the texts of a batch, where they are read, and then among the batches' first occurrences, so a seed is sent once for each batch that has
+it, however common it is, and most copies are compared without being sent anywhere.
+
+Matches of two documents are chained in order on both sides: a Fenwick tree over the other side's places holds the best chain so far, and the cost of a gap
+grows with its length; if that one ends too far away, the best within the gap counts. Words between seeds are aligned, ends are extended across a few other
+words, and chains are cut where the words between disagree. Spans of a document that touch are taken together, whoever shares them, and count if they are
+LEAST words long.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ K, WINDOW, LEAST, GAP = 8, 8, 50, 30
 #: Words that differ, at an alignment's ends, up to which as many equal ones carry on.
 SLIP = 4
 COST = 0.05
+#: Words of the texts that are compared where they are read.
+BATCH_WORDS = 400_000
+#: Stands for a null id: before all others.
+NO_ID = -(1 << 63)
 
 
 def kept_seeds(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -138,63 +146,182 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int = K
     return whole
 
 
-def _seeds(texts: DataFrame) -> DataFrame:
+_SPAN = ("key", "id", "other_key", "other_id", "start", "end", "other_start", "other_end", "n_equal")
+_SPANS = "key bigint, id bigint, other_key bigint, other_id bigint, start int, end int, other_start int, other_end int, n_equal int"
+_SPAN_TYPES = [pa.int64()] * 4 + [pa.int32()] * 5
+#: Of 64 bits of a seed's hash these travel; words are compared in the end.
+_KEPT = np.uint64((1 << 48) - 1)
+
+
+def passages_of(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Passages (start, end, other start, other end, equal words) of two texts' words that hold the given pairs of places, where those are equal."""
+    found: set[tuple[int, int, int, int, int]] = set()
+    sure = [(p, q) for p, q in matches if max(p - len(a), q - len(b)) <= -K and np.array_equal(a[p : p + K], b[q : q + K])]
+    for chain in chains(sure):
+        if not any(s <= chain[0][0] and chain[-1][0] + K <= x and t <= chain[0][1] and chain[-1][1] + K <= y for s, x, t, y, _ in found):
+            found.update(align(a, b, chain))
+    return sorted(tuple(map(int, f)) for f in found)
+
+
+def firsts_and_matches(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, lead, other) of occurrences of hashes in documents, numbered as they come: indices in order of hash, document and place; for each of these
+    the index of its hash's first one; and whether it is in another document than that."""
+    order = np.lexsort((pos, doc, h))
+    if not len(order):
+        return order, order, np.zeros(0, bool)
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return order, lead, doc[order] != doc[lead]
+
+
+def _grouped(doc: np.ndarray, other: np.ndarray, pos: np.ndarray, other_pos: np.ndarray):
+    """(doc, other, [(pos, other_pos)]) of equal pairs of documents."""
+    order = np.lexsort((other, doc))
+    doc, other, pos, other_pos = doc[order], other[order], pos[order], other_pos[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])])) if len(doc) else []
+    for x, y in zip(cuts, [*cuts[1:], len(doc)]):
+        yield int(doc[x]), int(other[x]), list(zip(pos[x:y].tolist(), other_pos[x:y].tolist()))
+
+
+_DEALT = "bucket int, kind int, seeds binary, places binary, docs binary, runs binary, spans binary"
+_DEALT_NAMES = [f.split()[0] for f in _DEALT.split(", ")]
+
+
+def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
+    """Passages within batches of texts(key, id, text), and each batch's first occurrences of its seeds, packed by bucket.
+
+    Rows of kind 0 hold passages (nine numbers each); rows of kind 1 hold hashes of 48 bits, places, documents (id and key) and their numbers of seeds.
+    """
+
+    def batch_rows(keys, ids, words):
+        rank = np.lexsort((keys, ids))  # documents are numbered in their order
+        keys, ids, words = np.array(keys)[rank], np.array(ids)[rank], [words[i] for i in rank]
+        again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1])])
+        h, doc, pos = [], [], []
+        for i, w in enumerate(words):
+            if len(w) >= K and not again[i]:  # a repeated row has the passages of the first
+                run = shingles(w, K)
+                at = kept_seeds(run)
+                h.append(run[at] & _KEPT)
+                doc.append(np.full(len(at), i))
+                pos.append(at)
+        if not h:
+            return
+        h, doc, pos = map(np.concatenate, (h, doc, pos))
+        order, lead, other = firsts_and_matches(h, doc, pos)
+        own, its = order[other], lead[other]
+        spans = [(keys[d], ids[d], keys[o], ids[o], *f) for d, o, m in _grouped(doc[own], doc[its], pos[own], pos[its]) for f in passages_of(words[d], words[o], m)]
+        for at in range(0, len(spans), 100_000):
+            yield at // 100_000 % buckets, 0, None, None, None, None, np.array(spans[at : at + 100_000], dtype=np.int64).tobytes()
+        firsts = np.sort(order[order == lead])  # in order of documents and places
+        bucket = (h[firsts] % np.uint64(buckets)).astype(np.int64)
+        firsts = firsts[np.argsort(bucket, kind="stable")]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+        short = h[firsts].view(np.uint8).reshape(-1, 8)[:, :6]
+        for b in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[b], edges[b + 1])
+            d = doc[firsts[part]]
+            new = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            who = np.stack([ids[d[new]], keys[d[new]]], 1).astype(np.int64)
+            yield int(b), 1, short[part].tobytes(), pos[firsts[part]].astype(np.uint32).tobytes(), who.tobytes(), np.diff(np.append(new, len(d))).astype(np.uint32).tobytes(), None
+
     def each(batches):
-        hashes = WordHashes()
+        hashes, types = WordHashes(), [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _DEALT_NAMES)
+
+        keys, ids, words, room = [], [], [], BATCH_WORDS
         for batch in batches:
-            ids, places, values = [], [], []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                w = hashes.of(split_words(text))
-                if len(w) >= K:
-                    h = shingles(w, K)
-                    at = kept_seeds(h)
-                    ids.append(np.full(len(at), key, dtype=np.int64))
-                    places.append(at.astype(np.int32))
-                    values.append(h[at].view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, places, values)], ["id", "pos", "h"])
+            for key, id_, text in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
+                w = hashes.of(split_words(text.as_py()))
+                keys.append(key)
+                ids.append(NO_ID if id_ is None else id_)
+                words.append(w)
+                room -= len(w) + 20
+                if room < 0:
+                    if rows := list(batch_rows(keys, ids, words)):
+                        yield packed(rows)
+                    keys, ids, words, room = [], [], [], BATCH_WORDS
+        if keys and (rows := list(batch_rows(keys, ids, words))):
+            yield packed(rows)
 
-    return texts.mapInArrow(each, "id bigint, pos int, h bigint")
+    return texts.select("key", "id", "text").mapInArrow(each, _DEALT)
 
 
-_FIELDS = "id bigint, other_id bigint, start int, end int, other_start int, other_end int, n_equal int"
+def _met(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Passages as they came, and matches of batches' first occurrences with the first of all: _SPANS, where matches have a place each in start and other_start and no end."""
+
+    def rows_of(waiting):
+        h, pos, who, runs = (b"".join(x) for x in zip(*waiting))
+        wide = np.zeros((len(h) // 6, 8), dtype=np.uint8)
+        wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
+        who, pos = np.frombuffer(who, np.int64).reshape(-1, 2), np.frombuffer(pos, np.uint32).astype(np.int64)
+        named, number = np.unique(who, axis=0, return_inverse=True)  # in order of id and key
+        doc = np.repeat(number.ravel(), np.frombuffer(runs, np.uint32))
+        order, lead, other = firsts_and_matches(wide.view(np.uint64).ravel(), doc, pos)
+        own, its = order[other], lead[other]
+        a, b = named[doc[own]], named[doc[its]]
+        none = pa.nulls(len(own), pa.int32())
+        columns = [pa.array(x) for x in (a[:, 1], a[:, 0], b[:, 1], b[:, 0])] + [pa.array(pos[own].astype(np.int32)), none, pa.array(pos[its].astype(np.int32)), none, none]
+        return pa.RecordBatch.from_arrays(columns, list(_SPAN))
+
+    def each(batches):
+        now, waiting = None, []
+        for batch in batches:
+            for bucket, kind, *part, spans in zip(*(batch.column(c).to_pylist() for c in _DEALT_NAMES)):
+                if waiting and bucket != now:
+                    yield rows_of(waiting)
+                    waiting = []
+                now = bucket
+                if kind:
+                    waiting.append(part)
+                else:
+                    rows = np.frombuffer(spans, np.int64).reshape(-1, len(_SPAN))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, i], pa.int64()).cast(t) for i, t in enumerate(_SPAN_TYPES)], list(_SPAN))
+        if waiting:
+            yield rows_of(waiting)
+
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(each, _SPANS)
 
 
 def _align(rows: DataFrame) -> DataFrame:
+    """The passages of pairs (key, id, other_key, other_id, matches, text, other_text); pairs of one other text follow each other, so it is hashed once."""
+
     def each(batches):
-        hashes = WordHashes()
+        hashes, last, b = WordHashes(), None, None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                a, b = hashes.of(split_words(r["text"])), hashes.of(split_words(r["other_text"]))
-                found = set()
-                sure = [(p, q) for p, q in ((m["pos"], m["other_pos"]) for m in r["matches"]) if max(p - len(a), q - len(b)) <= -K and np.array_equal(a[p : p + K], b[q : q + K])]
-                for chain in chains(sure):
-                    if not any(s <= chain[0][0] and chain[-1][0] + K <= x and t <= chain[0][1] and chain[-1][1] + K <= y for s, x, t, y, _ in found):
-                        found.update(align(a, b, chain))
-                out += [(r["id"], r["other_id"], *map(int, f)) for f in sorted(found)]
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in ("key", "id", "other_key", "other_id", "matches", "text")}
+                if r["other_key"] != last:
+                    last, b = r["other_key"], hashes.of(split_words(batch.column("other_text")[i].as_py()))
+                found = passages_of(hashes.of(split_words(r["text"])), b, [(m["start"], m["other_start"]) for m in r["matches"]])
+                out += [(r["key"], r["id"], r["other_key"], r["other_id"], *f) for f in found]
             if out:
-                types = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in _FIELDS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SPAN_TYPES)], list(_SPAN))
 
-    return rows.mapInArrow(each, _FIELDS)
+    return rows.mapInArrow(each, _SPANS)
 
 
 def shared_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, other_id, start, end, other_start, other_end, n_equal): passages of a document that an earlier id has as well, in word places.
 
-    Every passage of at least `least` words that stands in several documents has a row for each but the first of them; a row's own span may be
-    shorter where several documents cover the passage together. Texts of fewer than K words, null texts and rows with a null id have none; of rows
-    that share an id, only the smallest text has passages. An empty table gives no rows; other columns are left alone.
+    Every passage of at least `least` words that stands in several documents has a row for each but the first of them, with an earlier one; of rows
+    for one span the one with the most equal words stays. A row's own span may be shorter where several documents cover the passage together. Null ids come first, rows that share an id in order of a hash of their text; an id of
+    -2^63 counts as null. Repeated rows are one document. Texts of fewer than K words and null texts have none; texts of any length are read
+    whole. An empty table gives no rows; other columns are left alone.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    seeds = _seeds(texts)
-    firsts = seeds.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("far")).filter("f.id < far")
-    met = seeds.join(firsts.select("h", F.col("f.id").alias("other_id"), F.col("f.pos").alias("other_pos")), "h").filter("id <> other_id")
-    pairs = materialize(met.groupBy("id", "other_id").agg(F.collect_set(F.struct("pos", "other_pos")).alias("matches")))
-    one = texts.groupBy("id").agg(F.min("text").alias("text"))
-    both = pairs.join(one, "id").join(one.select(F.col("id").alias("other_id"), F.col("text").alias("other_text")), "other_id")
-    found = materialize(_align(both.select("id", "other_id", "matches", "text", "other_text")))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    texts = texts.select(F.xxhash64("id", "text").alias("key"), "id", "text")
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = materialize(_met(_dealt(texts, buckets), buckets))
+    near, far = met.filter("end is not null"), met.filter("end is null")
+    pairs = materialize(far.groupBy("key", "id", "other_key", "other_id").agg(F.collect_set(F.struct("start", "other_start")).alias("matches")))
+    wanted = pairs.select(F.explode(F.array("key", "other_key")).alias("key")).distinct()
+    one = materialize(texts.select("key", "text").join(wanted, "key", "left_semi")).dropDuplicates(["key"])
+    both = pairs.join(one, "key").join(one.select(F.col("key").alias("other_key"), F.col("text").alias("other_text")), "other_key")
+    found = materialize(near.unionByName(_align(both.select("key", "id", "other_key", "other_id", "matches", "text", "other_text"))))
     spans = F.array_sort(F.collect_set(F.struct("start", "end")))
     zero = F.array().cast("array<struct<start:int,end:int>>")
 
@@ -203,6 +330,9 @@ def shared_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
         joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when((F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"] + 2), joined).otherwise(F.concat(done, F.array(s)))
 
-    runs = found.groupBy("id").agg(spans.alias("s")).select("id", F.explode(F.filter(F.aggregate("s", zero, extend), lambda r: r["end"] - r["start"] >= least)).alias("run"))
-    kept = found.join(runs, "id").filter("start >= run.start and end <= run.end").drop("run")
-    return kept.withColumnRenamed("id", id_col)
+    runs = found.groupBy("key", "id").agg(spans.alias("s")).select("key", F.explode(F.filter(F.aggregate("s", zero, extend), lambda r: r["end"] - r["start"] >= least)).alias("run"))
+    kept = found.join(runs, "key").filter("start >= run.start and end <= run.end")
+    closest = F.max_by(F.struct("id", "other_id", "other_start", "other_end", "n_equal"), F.struct("n_equal", "other_key"))
+    kept = kept.groupBy("key", "start", "end").agg(closest.alias("best")).select("start", "end", "best.*")
+    real = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
+    return kept.select(real("id").alias(id_col), real("other_id").alias("other_id"), "start", "end", "other_start", "other_end", "n_equal")

@@ -275,3 +275,31 @@ def test_urls_follow_relative_and_loosely_written_links(spark):
     rows = [(i, u, h) for i, (u, h, _) in enumerate(pages)]
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(len(pages))] == [p[2] for p in pages]
+
+
+def test_passages_reach_over_batches(spark, monkeypatch):
+    """Recall of planted fuzzy passages against brute force over all pairs, with several documents of one id, null ids and copies; the same rows from small batches."""
+    rnd = random.Random(21)
+    new = lambda n: [f"k{rnd.randrange(10**6)}" for _ in range(n)]
+    planted = [new(rnd.randrange(60, 120)) for _ in range(12)]
+    texts = []
+    for i in range(90):
+        w = new(rnd.randrange(80))
+        for _ in range(rnd.randrange(3)):
+            p = list(rnd.choice(planted))
+            for _ in range(rnd.randrange(4)):
+                p[rnd.randrange(len(p))] = f"x{rnd.randrange(10**6)}"
+            w += p + new(rnd.randrange(40, 90))
+        texts.append(" ".join(w))
+    rows = [(None if i % 11 == 0 else i // 2, t) for i, t in enumerate(texts)] + [(3, texts[6]), (500, texts[5]), (501, "")]
+    sets = [{" ".join(t.split()[j : j + 25]) for j in range(len(t.split()) - 24)} for _, t in rows]
+    order = lambda i: (rows[i][0] is not None, rows[i][0] or 0)
+    want = {rows[j][0] for i in range(len(rows)) for j in range(len(rows)) if i != j and order(i) < order(j) and sets[i] & sets[j]}
+    results = []
+    for size in (400_000, 300):
+        monkeypatch.setattr(passages, "BATCH_WORDS", size)
+        got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=50).collect()
+        found = {r.doc_id for r in got}
+        assert len(want & found) >= 0.9 * len(want) and all(r.n_equal >= 0.7 * (r.end - r.start) for r in got)
+        results.append(found)
+    assert len(results[0] ^ results[1]) <= 0.1 * len(want)
