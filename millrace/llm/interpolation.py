@@ -1,71 +1,121 @@
 """Language-model scores by deleted interpolation.
 
-The chance of a word after its neighbour mixes three maximum-likelihood estimates: of the pair, of the word alone, and the uniform one. How they
-are mixed depends on how often the neighbour was seen (buckets by powers of two). The weights come from expectation-maximisation on deleted counts: each
-training token in turn is held out of all the counts that predict it. All pairs of the corpus take part: they are summed into a grid of estimates
-(tenths of a decade), whose size does not grow with the corpus, and only that grid reaches the driver.
+The chance of a word after two others mixes four estimates: of the three words, of the pair, of the word alone (all by maximum likelihood), and the
+uniform one. How they are mixed depends on how often training holds the two words before, or, where it never does, the one before (buckets by
+powers of two). The weights come from expectation-maximisation on deleted counts: each training token in turn is held out of all the counts that
+predict it, its bucket's too. All tokens of the training texts take part: they are summed into a grid of estimates (quarters of a decade), whose size does not
+grow with the corpus, and only that grid reaches the driver. Counts come to the texts by one exchange (see exchange.py).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.ngrams import pairs, text_key, text_sums
+from millrace.llm.exchange import counted, spread
 from millrace.llm.storage import materialize
 
 HELD_OUT = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) = 2"
-BUCKETS = 41
+#: Buckets of contexts of one word come first, those of two words after them.
+BUCKETS, PAIRS = 128, 64
+#: Steps of the grid in a decade, and how many of them there are; the last is a chance of 0.
+STEPS, CELLS = 4, 256
 
 
 def weights(grid: list, uniform: float, rounds: int = 60) -> np.ndarray:
-    """A row of weights (pair, word, uniform) for each bucket, from rows (b, w, p2, p1); buckets without rows lean on the word."""
-    out = np.tile([0.0, 0.9, 0.1], (BUCKETS, 1))
+    """A row of weights (three words, pair, word, uniform) for each bucket, from rows (b, w, p3, p2, p1), or without p3; buckets without rows lean on the word."""
+    names = [n for n in ("p3", "p2", "p1") if not grid or n in grid[0]]
+    out = np.tile([0.0] * (len(names) - 1) + [0.9, 0.1], (BUCKETS, 1))
     if not grid:
         return out
-    b, w, p2, p1 = (np.array([r[k] for r in grid], dtype=float) for k in ("b", "w", "p2", "p1"))
+    b, w, *ps = (np.array([r[k] for r in grid], dtype=float) for k in ("b", "w", *names))
     b = b.astype(int)
-    p = np.stack([p2, p1, np.full_like(p1, uniform)], 1)
+    p = np.stack([*ps, np.full_like(ps[0], uniform)], 1)
     seen = np.bincount(b, weights=w, minlength=BUCKETS) > 0
-    out[seen] = [0.4, 0.4, 0.2]
+    out[seen] = 1 / p.shape[1]
     for _ in range(rounds):
         part = out[b] * p
         part = part / part.sum(1, keepdims=True) * w[:, None]
-        total = np.stack([np.bincount(b, weights=part[:, i], minlength=BUCKETS) for i in range(3)], 1) + 1e-3
+        total = np.stack([np.bincount(b, weights=part[:, i], minlength=BUCKETS) for i in range(p.shape[1])], 1) + 1e-3
         out[seen] = (total / total.sum(1, keepdims=True))[seen]
-    out[0] = [0.0, *(out[0][1:] / out[0][1:].sum())]
     return out
 
 
+def proper(mix: np.ndarray) -> np.ndarray:
+    """Weights that give nothing to estimates that a bucket's contexts cannot have, so chances of all words sum to 1."""
+    out = mix.copy()
+    out[:PAIRS, 0] = 0
+    out[0, 1] = 0
+    return out / out.sum(1, keepdims=True)
+
+
+def estimates(one: np.ndarray, two: np.ndarray, three: np.ndarray, first: np.ndarray, texts: int, total: int, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, [p3, p2, p1]) of each token, from counts without `less` of it; contexts at the start of a text are seen as often as there are training texts."""
+    before, pair = np.roll(one, 1), np.roll(two, 1)
+    before[first] = pair[first] = texts
+    c = [np.maximum(x - less, 0) for x in (three, two, one)]
+    of = [np.maximum(pair - less, 0), np.maximum(before - less, 0), np.full(len(one), max(total - less, 0))]
+    p = np.stack([np.where(n > 0, k / np.maximum(n, 1), 0.0) for k, n in zip(c, of)], 1) if len(one) else np.zeros((0, 3))
+    level = lambda n: np.minimum(np.log2(n + 1).astype(np.int64), PAIRS - 1)
+    return np.where(of[0] > 0, PAIRS + level(of[0]), level(of[1])), p
+
+
+def _rows(batches) -> Iterator[tuple]:
+    """(ids, held, sizes, first, one, two, three) of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, held, sizes, *packed = (batch.column(c)[i].as_py() for c in ("ids", "held", "sizes", "one", "two", "three"))
+            sizes = np.array(sizes, dtype=np.int64)
+            yield ids, np.array(held, dtype=bool), sizes, np.cumsum(sizes) - sizes, *map(spread, packed)
+
+
+def _grid(blocks: DataFrame, texts: int, total: int) -> list:
+    """Cells (b, w, p3, p2, p1) of all training tokens: weight and mean estimates."""
+
+    def each(batches):
+        for _, held, sizes, first, one, two, three in _rows(batches):
+            train = np.repeat(~held, sizes)
+            b, p = estimates(one, two, three, first, texts, total, 1)
+            b, p = b[train], p[train]
+            with np.errstate(divide="ignore"):
+                q = np.where(p > 0, np.clip(-np.round(np.log10(p) * STEPS), 0, CELLS - 2), CELLS - 1).astype(np.int64)
+            code, at = np.unique(((b * CELLS + q[:, 0]) * CELLS + q[:, 1]) * CELLS + q[:, 2], return_inverse=True)
+            sums = [np.bincount(at, weights=x, minlength=len(code)) for x in (np.ones(len(b)), *p.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(code), *map(pa.array, sums)], ["code", "w", "s3", "s2", "s1"])
+
+    cells = blocks.select("ids", "held", "sizes", "one", "two", "three").mapInArrow(each, "code bigint, w double, s3 double, s2 double, s1 double")
+    cells = cells.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("w", "s3", "s2", "s1")))
+    mean = lambda c: (F.col(f"s{c}") / F.col("w")).alias(f"p{c}")
+    # Sorted, as sums of floats depend on their order.
+    return cells.select("code", F.floor(F.col("code") / CELLS**3).alias("b"), "w", mean(3), mean(2), mean(1)).orderBy("code").collect()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text).
 
-    A null or empty text is its end alone. Repeated rows count as often as they occur, and each gets a row. Without a training text, counts are 0 and
-    all chances uniform. An empty table gives no rows; other columns are left alone.
+    A null or empty text is its end alone; texts of any length are read whole. Repeated rows count as often as they occur, and each gets a row;
+    ties have no effect. Without a training text, counts are 0 and all chances uniform. An empty table gives no rows; other columns are left alone.
     """
-    base = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"), F.expr(HELD_OUT).alias("held_out"))
-    rows = pairs(base)
-    train = pairs(base.filter("not held_out")).groupBy("ctx", "word").agg(F.sum("n").alias("c"))
-    train = materialize(train)
-    after = train.groupBy("ctx").agg(F.sum("c").alias("c_ctx"))
-    single = materialize(train.groupBy("word").agg(F.sum("c").alias("c_word")))
-    total = single.agg(F.coalesce(F.sum("c_word"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total["n"], total["v"]
+    base = docs.select(F.col("doc_id").alias("id"), F.expr(HELD_OUT).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = materialize(counted(base))
+    known = blocks.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("texts")).first()
+    n, v, texts = known["n"], known["v"], known["texts"]
     uniform = 1 / (v + 1)
-    bucket = F.floor(F.log2(F.col("c_ctx") + 1)).cast("int")
-    seen = train.join(after, "ctx").join(single, "word")
-    held = seen.select(bucket.alias("b"), "c", F.when(F.col("c_ctx") > 1, (F.col("c") - 1) / (F.col("c_ctx") - 1)).otherwise(0.0).alias("p2"), ((F.col("c_word") - 1) / F.lit(max(1, n - 1))).alias("p1"))
-    cell = lambda p: F.when(F.col(p) > 0, F.round(F.log10(F.col(p)) * 10)).otherwise(-999)
-    grid = held.groupBy("b", cell("p2").alias("i2"), cell("p1").alias("i1")).agg(F.sum("c").alias("w"), (F.sum(F.col("c") * F.col("p2")) / F.sum("c")).alias("p2"), (F.sum(F.col("c") * F.col("p1")) / F.sum("c")).alias("p1"))
-    mix = weights(grid.collect(), uniform)
-    lam = lambda i: F.element_at(F.array(*(F.lit(float(x)) for x in mix[:, i])), F.col("b") + 1)
-    # Every pair of every text, with its counts; pairs that training has not seen have the counts of their words.
-    distinct = rows.select("ctx", "word").distinct()
-    counted = distinct.join(train, ["ctx", "word"], "left").join(after, "ctx", "left").join(single, "word", "left").na.fill(0, ["c", "c_ctx", "c_word"])
-    p2 = F.when(F.col("c_ctx") > 0, F.col("c") / F.col("c_ctx")).otherwise(0.0)
-    chance = lam(0) * p2 + lam(1) * (F.col("c_word") / F.lit(max(1, n))) + lam(2) * F.lit(uniform)
-    values = counted.withColumn("b", F.least(F.lit(BUCKETS - 1), bucket)).select("ctx", "word", (F.col("c_word") > 0).alias("known"), F.log10(chance).alias("lp"), F.log10((F.col("c_word") + 1) / F.lit(float(n + v + 1))).alias("bp"))
-    sums = {"n_known": F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)), "base_score": F.sum(F.col("n") * F.col("bp")), "score": F.sum(F.col("n") * F.col("lp"))}
-    out = text_sums(rows, values, sums, base.select("doc_id", "held_out", "key"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    mix = proper(weights([r.asDict() for r in _grid(blocks, texts, n)], uniform)) if n else np.tile([0.0, 0.0, 0.0, 1.0], (BUCKETS, 1))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def each(batches):
+        for ids, held, sizes, first, one, two, three in _rows(batches):
+            b, p = estimates(one, two, three, first, texts, n)
+            own = mix[b]
+            chance = np.log10((own[:, :3] * p).sum(1) + own[:, 3] * uniform)
+            plain = np.log10((one + 1) / (n + v + 1))
+            add = lambda x: np.add.reduceat(x, first) if len(first) else x
+            columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(add((one > 0).astype(np.int64))), pa.array(np.full(len(sizes), n, np.int64)), pa.array(add(plain)), pa.array(add(chance))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return blocks.select("ids", "held", "sizes", "one", "two", "three").mapInArrow(each, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

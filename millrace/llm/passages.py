@@ -212,7 +212,7 @@ def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
         own, its = order[other], lead[other]
         spans = [(keys[d], ids[d], keys[o], ids[o], *f) for d, o, m in _grouped(doc[own], doc[its], pos[own], pos[its]) for f in passages_of(words[d], words[o], m)]
         for at in range(0, len(spans), 100_000):
-            yield at // 100_000 % buckets, 0, None, None, None, None, np.array(spans[at : at + 100_000], dtype=np.int64).tobytes()
+            yield int((keys[0] + at // 100_000) % buckets), 0, None, None, None, None, np.array(spans[at : at + 100_000], dtype=np.int64).tobytes()
         firsts = np.sort(order[order == lead])  # in order of documents and places
         bucket = (h[firsts] % np.uint64(buckets)).astype(np.int64)
         firsts = firsts[np.argsort(bucket, kind="stable")]

@@ -303,3 +303,49 @@ def test_passages_reach_over_batches(spark, monkeypatch):
         assert len(want & found) >= 0.9 * len(want) and all(r.n_equal >= 0.7 * (r.end - r.start) for r in got)
         results.append(found)
     assert len(results[0] ^ results[1]) <= 0.1 * len(want)
+
+
+def test_interpolation_equals_brute_force(spark, monkeypatch):
+    """Scores by counting with dictionaries, from small blocks and many shards; chances of all words after a context sum to 1."""
+    from millrace.llm import exchange
+
+    monkeypatch.setattr(exchange, "BLOCK", 2000)
+    monkeypatch.setattr(exchange, "SHARD_TOKENS", 500)
+    rnd = random.Random(31)
+    texts = [" ".join(f"t{min(rnd.randrange(30), rnd.randrange(30))}" for _ in range(rnd.choice([0, 3, 60]))) for _ in range(70)]
+    rows = [*enumerate(texts), (3, texts[5]), (None, "t1 t2 nowhere"), (200, None), (201, "T1 " * 3000)]
+    kept = {}
+    monkeypatch.setattr(interpolation, "weights", lambda grid, uniform, f=interpolation.weights: kept.setdefault("mix", f(grid, uniform)))
+    got = score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    mix = interpolation.proper(kept["mix"])
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
+    tokens = lambda t: ["<", "<", *words(t), ">"]
+    count, ctx = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = tokens(t)
+            for j in range(2, len(w)):
+                count.update([(w[j],), (w[j - 1], w[j]), (w[j - 2], w[j - 1], w[j])])
+                ctx.update([(), (w[j - 1],), (w[j - 2], w[j - 1])])
+    kinds = [k[0] for k in count if len(k) == 1]
+
+    def chance(a, b, w):
+        n3, n2 = ctx[a, b], ctx[b,]
+        own = mix[64 + int(math.log2(n3 + 1)) if n3 else int(math.log2(n2 + 1))]
+        return own[0] * (count[a, b, w] / n3 if n3 else 0) + own[1] * (count[b, w] / n2 if n2 else 0) + own[2] * count[w,] / ctx[()] + own[3] / (len(kinds) + 1)
+
+    want = Counter((i, held(i), round(sum(math.log10(chance(*w[j - 2 : j + 1])) for j in range(2, len(w))), 5)) for i, w in ((i, tokens(t)) for i, t in rows))
+    assert Counter((r.doc_id, r.held_out, round(r.score, 5)) for r in got) == want
+    for a, b in (("<", "<"), ("<", "t1"), ("t1", "t2"), ("never", "t2"), ("never", "seen")):
+        assert abs(sum(chance(a, b, w) for w in [*kinds, "unknown"]) - 1) < 1e-9
+
+
+def test_packed_numbers_come_back():
+    from millrace.llm import exchange
+
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        assert np.array_equal(exchange.unpack_sorted(exchange.pack_sorted(keys)), keys)
+        small = rnd.integers(0, 70000, n)
+        assert np.array_equal(exchange.spread(exchange.squeeze(small)), small)
