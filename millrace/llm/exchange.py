@@ -1,8 +1,8 @@
 """Counts of all n-grams of a corpus, returned to the texts that hold them, in one exchange.
 
 Texts are dealt into blocks of about BLOCK bytes. Each block sends the distinct n-grams of its texts, sorted and packed, to shards by hash, with how often its
-training texts hold them; a shard adds these up and answers each block with the sums in the order asked. So an n-gram travels once for each
-block, however common it is, and an answer is a small number without its key. Single words are told apart by 64-bit hashes; longer ones by
+training texts hold them; a shard adds these up and answers each block, in the order asked, with how many more the others hold. So an n-gram travels once
+for each block, however common it is, and an answer is a small number without its key, mostly 0. Single words are told apart by 64-bit hashes; longer ones by
 as many bits as the corpus's size asks for: one in 2^SPARE of them shares its key with another.
 """
 
@@ -18,21 +18,29 @@ from pyspark.sql import functions as F
 from millrace.llm.ngrams import END, START
 from millrace.llm.text import WordHashes, mix, split_words
 
-BLOCK, SHARD_TOKENS, SPARE = 9 << 20, 2_000_000, 16
+BLOCK, SHARD_TOKENS, SPARE = 9 << 20, 2_000_000, 10
 _ODD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CODEC = "zstd"
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers that are not negative, mostly small, in as few bytes each as the largest needs, compressed; the first byte is that width."""
-    width = next(k for k in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * k)
-    raw = x.astype(f"<u{width}").tobytes()
-    return bytes([width]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, _CODEC, asbytes=True) if raw else b"")
+    """Whole numbers that are not negative, mostly small: byte by byte of all of them, each such plane compressed by itself."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 0
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    parts = [pa.compress(p.tobytes(), _CODEC, asbytes=True) for p in planes]
+    return len(x).to_bytes(4, "little") + b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
 def spread(data: bytes) -> np.ndarray:
-    width, size = data[0], int.from_bytes(data[1:9], "little")
-    return np.frombuffer(pa.decompress(data[9:], size, _CODEC, asbytes=True) if size else b"", f"<u{width}").astype(np.int64)
+    n, at = int.from_bytes(data[:4], "little"), 4
+    wide = np.zeros((n, 8), np.uint8)
+    for plane in range(8):
+        if at == len(data):
+            break
+        size = int.from_bytes(data[at : at + 4], "little")
+        wide[:, plane] = np.frombuffer(pa.decompress(data[at + 4 : at + 4 + size], n, _CODEC, asbytes=True), np.uint8)
+        at += 4 + size
+    return wide.view(np.int64).ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -95,16 +103,18 @@ def counted(base: DataFrame) -> DataFrame:
     bits = min(63, max(40, tokens.bit_length() + 1 + SPARE))
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "held", "text").repartition(parts, "block")
-    hashes = WordHashes()
+    hashes = WordHashes(300_000)
 
-    def ask(table: pa.Table) -> pa.Table:
-        t = Tokens(table.column("text").to_pylist(), hashes, bits)
-        train = np.repeat(~np.array(table.column("held").to_pylist(), dtype=bool), t.sizes)
-        asked = []
+    def own_counts(t: Tokens, docs: pa.Table):
+        """(distinct keys, where each token's is, how often training texts of this block hold it), of words and of what is longer."""
+        train = np.repeat(~np.array(docs.column("held").to_pylist(), dtype=bool), t.sizes)
         for keys, own in ((t.one, train), (t.more, np.tile(train, 2))):
             unique, at = np.unique(keys, return_inverse=True)
-            count = np.bincount(at, weights=own, minlength=len(unique)).astype(np.int64)
-            asked.append((unique, count, (unique >> np.uint64(1)) % np.uint64(shards)))
+            yield unique, at, np.bincount(at, weights=own, minlength=len(unique)).astype(np.int64)
+
+    def ask(table: pa.Table) -> pa.Table:
+        t = Tokens(table.column("text").to_pylist(), hashes, bits)
+        asked = [(unique, count, (unique >> np.uint64(1)) % np.uint64(shards)) for unique, _, count in own_counts(t, table)]
         block, rows = table.column("block")[0].as_py(), []
         for s in range(shards):
             row = [s, block]
@@ -120,7 +130,7 @@ def counted(base: DataFrame) -> DataFrame:
             keys, own = [unpack_sorted(r[2 + 2 * i]) for r in waiting], [spread(r[3 + 2 * i]) for r in waiting]
             unique, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate(own), minlength=len(unique)).astype(np.int64)
-            out.append([squeeze(total[x]) for x in np.split(at, np.cumsum([len(k) for k in keys])[:-1])])
+            out.append([squeeze(total[x] - o) for x, o in zip(np.split(at, np.cumsum([len(k) for k in keys])[:-1]), own)])
             if i == 0:
                 kinds, everything = int((total > 0).sum()), int(total.sum())
         for j, r in enumerate(waiting):
@@ -147,11 +157,10 @@ def counted(base: DataFrame) -> DataFrame:
         t = Tokens(docs.column("text").to_pylist(), hashes, bits)
         by_shard = {r["shard"]: r for r in said.to_pylist()}
         counts = []
-        for keys, name in ((t.one, "one"), (t.more, "more")):
-            unique, at = np.unique(keys, return_inverse=True)
-            shard, found = (unique >> np.uint64(1)) % np.uint64(shards), np.zeros(len(unique), np.int64)
+        for (unique, at, found), name in zip(own_counts(t, docs), ("one", "more")):
+            shard = (unique >> np.uint64(1)) % np.uint64(shards)
             for s, r in by_shard.items():
-                found[shard == s] = spread(r[name])
+                found[shard == s] += spread(r[name])
             counts.append(found[at])
         one, (two, three) = counts[0], np.split(counts[1], 2)
         row = [[docs.column("block")[0].as_py()], [docs.column("id").to_pylist()], [docs.column("held").to_pylist()], [t.sizes.tolist()], [squeeze(one)], [squeeze(two)], [squeeze(three)], [sum(r["kinds"] for r in by_shard.values())], [sum(r["total"] for r in by_shard.values())]]

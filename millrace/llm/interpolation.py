@@ -64,13 +64,23 @@ def estimates(one: np.ndarray, two: np.ndarray, three: np.ndarray, first: np.nda
     return np.where(of[0] > 0, PAIRS + level(of[0]), level(of[1])), p
 
 
+#: Tokens that are worked on at once, or one text.
+SLICE = 200_000
+
+
 def _rows(batches) -> Iterator[tuple]:
-    """(ids, held, sizes, first, one, two, three) of each block."""
+    """(ids, held, sizes, first, one, two, three) of some texts of a block at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, held, sizes, *packed = (batch.column(c)[i].as_py() for c in ("ids", "held", "sizes", "one", "two", "three"))
-            sizes = np.array(sizes, dtype=np.int64)
-            yield ids, np.array(held, dtype=bool), sizes, np.cumsum(sizes) - sizes, *map(spread, packed)
+            held, sizes = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("held", "sizes"))
+            counts = [spread(batch.column(c)[i].as_py()) for c in ("one", "two", "three")]
+            ids, ends, at = batch.column("ids")[i].values, np.cumsum(sizes, dtype=np.int64), 0
+            while at < len(sizes):
+                begin = int(ends[at] - sizes[at])
+                to = max(at + 1, int(np.searchsorted(ends, begin + SLICE, side="right")))
+                own = sizes[at:to].astype(np.int64)
+                yield ids[at:to], held[at:to].astype(bool), own, np.cumsum(own) - own, *(c[begin : ends[to - 1]] for c in counts)
+                at = to
 
 
 def _grid(blocks: DataFrame, texts: int, total: int) -> list:
@@ -115,7 +125,7 @@ def score(docs: DataFrame) -> DataFrame:
             chance = np.log10((own[:, :3] * p).sum(1) + own[:, 3] * uniform)
             plain = np.log10((one + 1) / (n + v + 1))
             add = lambda x: np.add.reduceat(x, first) if len(first) else x
-            columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(add((one > 0).astype(np.int64))), pa.array(np.full(len(sizes), n, np.int64)), pa.array(add(plain)), pa.array(add(chance))]
+            columns = [ids, pa.array(held), pa.array(sizes), pa.array(add((one > 0).astype(np.int64))), pa.array(np.full(len(sizes), n, np.int64)), pa.array(add(plain)), pa.array(add(chance))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return blocks.select("ids", "held", "sizes", "one", "two", "three").mapInArrow(each, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
