@@ -115,5 +115,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and more) that hold no window of the benchmark; rows that share an id, or a null id, are kept or dropped by their own text."""
     windows = materialize(windows_of(benchmark, "item_id", "text"))
-    bad = hits(docs, windows, "doc_id", "text").filter(F.size("spans") > 0).select(F.col("id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (text_hash(F.col("text")) == F.col("bad_hash")), "left_anti")
+    bad = hits(docs, windows, "doc_id", "text").filter(F.size("spans") > 0).select(F.col("id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (text_hash(F.col("text")) == F.col("__bad_hash")), "left_anti")

@@ -365,8 +365,8 @@ def deduplicate(docs: DataFrame, over: int = 80, under: int = 100, words: int =
     seen = materialize(_named(docs.select(own.alias("id"), "text", key.alias("key")), words))
     firsts = seen.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "key")).alias("first"))
     met = _classes(texts, seen, over, under, words).select("n", "h1", "h2", "root").join(firsts, ["n", "h1", "h2"])
-    keep = met.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("keep_id"), F.col("first.key").alias("keep_key"))
+    keep = met.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__keep_id"), F.col("first.key").alias("__keep_key"))
     judged = own.isNotNull() & (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))) > 0)
-    kept = docs.filter(judged).join(keep, (own == F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
+    kept = docs.filter(judged).join(keep, (own == F.col("__keep_id")) & (key == F.col("__keep_key")), "left_semi")
     once = kept.withColumn("__key", key).dropDuplicates([id_col, "__key"]).drop("__key")
     return once.unionByName(docs.filter(~judged))

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,14 +202,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(texts, np.asarray(toxic, dtype=float), weight / weight.mean() if len(weight) else weight)
 
 
-def tag(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds score and spans (start, end: UTF-8 offsets of words tagged toxic) to the id and the columns of keep.
+def tag(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """Adds score and spans, under the given names, (start, end: UTF-8 offsets of words tagged toxic) to the id and the columns of keep.
 
-    A null or empty text has no words and gets the score of no toxic words. Every row is scored by itself; other columns are left alone.
+    A null or empty text has no words and gets the score of no toxic words. Every row, repeated ones too, is scored by itself, and texts of any
+    length are read whole. An empty table gives no rows; other columns are left alone.
     """
     source = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
     fields = [f for f in source.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, spans array<struct<start:int,end:int>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names[0]}` double, `{names[1]}` array<struct<start:int,end:int>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def each(batches):
@@ -227,7 +228,7 @@ def tag(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str =
                     hot = set(np.flatnonzero(p >= 0.5))
                     spans.append([{"start": m.start(), "end": m.end()} for i, m in enumerate(_WORD.finditer(t.encode("utf-8", "replace"))) if i in hot] if hot else [])
                 part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(score, pa.float64()), pa.array(spans, span)], [*(f.name for f in fields), "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(score, pa.float64()), pa.array(spans, span)], [*(f.name for f in fields), *names])
                 at = end
 
     return source.mapInArrow(each, schema)

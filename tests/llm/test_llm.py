@@ -349,3 +349,41 @@ def test_packed_numbers_come_back():
         assert np.array_equal(exchange.unpack_sorted(exchange.pack_sorted(keys)), keys)
         small = rnd.integers(0, 70000, n)
         assert np.array_equal(exchange.spread(exchange.squeeze(small)), small)
+
+
+def test_pipeline_keeps_clean_rows(spark, tmp_path):
+    """Each stage on rows with null, shared and repeated ids, empty texts and columns with the names that stages use inside; exact survivors."""
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(77)
+    new = lambda n: " ".join(f"n{rnd.randrange(10**6)}" for _ in range(n))
+    base, item, toxic = new(100), new(12), "awful filth " * 6
+    labelled = [(1000 + i, toxic + new(4) if i % 2 else new(30), "en", "s", 1) for i in range(160)]
+    extra = "id long, times int, copy int, gone int, bad_id long, score double, spans string"
+    rows = [(1, base), (2, base + " end"), (None, base), (None, new(20)), (None, f"{item} q"), (4, new(20)), (4, f"x {item}"), (5, new(15)), (5, new(15)), (6, ""), (7, None), (8, toxic), (9, new(25)), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[k % 2], 7, 1, 77, 77, 77, None, 0.9, "z") for k, (i, t) in enumerate(rows)], SCHEMA + ", " + extra)
+    documents = spark.createDataFrame(labelled, SCHEMA)
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, (i - 1000) % 2) for i, *_ in labelled], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda i, d: pipeline.STAGES[i][1](spark, d, str(tmp_path))
+    texts = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    everything = Counter(rows)
+    assert texts(run(0, docs)) == everything - Counter([(8, toxic)])
+    assert texts(run(1, docs)) == everything - Counter([(2, base + " end")])
+    assert texts(run(2, docs)) == everything - Counter([rows[4], rows[6]])
+    mixed = run(3, docs)
+    drawn = texts(mixed)
+    assert {k for k in drawn} <= set(rows) and max(drawn.values()) <= 2 and all((r.times, r.copy, r.id) == (77, 77, 1) for r in mixed.select("id", "times", "copy").collect())
+    words_of = lambda k: sum(len(words(t)) for (_, t), n in drawn.items() if rows.index((_, t)) % 2 == k for _ in range(n))
+    size = [sum(len(words(t)) for n, (_, t) in enumerate(rows) if n % 2 == k) for k in (0, 1)]
+    first = min(2 * size[0], 1.5 * sum(size) * 5 / 7)
+    goals = (first, min(2 * size[1], 1.5 * sum(size) - first))
+    assert all(abs(words_of(k) - goals[k]) <= 110 for k in (0, 1))
+    shards = run(4, docs)
+    assert shards.count() == len(rows) and shards.filter("size is null").count() == 0
+    for i in range(5):
+        assert run(i, docs.limit(0)).count() == 0 and (i == 4 or run(i, docs).columns == docs.columns)
+    twice = docs.unionByName(docs)
+    assert texts(run(2, twice)) == Counter({k: 2 * n for k, n in texts(run(2, docs)).items()})
+    assert sum(texts(run(3, twice)).values()) >= sum(drawn.values())
