@@ -9,6 +9,7 @@ as many bits as the corpus's size asks for: one in 2^SPARE of them shares its ke
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.ngrams import END, START
-from millrace.llm.text import WordHashes, mix, split_words
+from millrace.llm.text import WordHashes, lower_ascii, mix, split_words
 
 BLOCK, SHARD_TOKENS, SPARE = 9 << 20, 2_000_000, 10
 _ODD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CODEC = "zstd"
+#: Levels of compression for what travels, and for what is kept and read twice.
+QUICK, DENSE = 1, 6
 
 
-def squeeze(x: np.ndarray) -> bytes:
+@lru_cache(maxsize=None)
+def _codec(level: int = QUICK) -> pa.Codec:
+    return pa.Codec("zstd", compression_level=level)
+
+
+def squeeze(x: np.ndarray, level: int = QUICK) -> bytes:
     """Whole numbers that are not negative, mostly small: byte by byte of all of them, each such plane compressed by itself."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 0
     planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    parts = [pa.compress(p.tobytes(), _CODEC, asbytes=True) for p in planes]
+    parts = [_codec(level).compress(p.tobytes(), asbytes=True) for p in planes]
     return len(x).to_bytes(4, "little") + b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
@@ -38,7 +45,7 @@ def spread(data: bytes) -> np.ndarray:
         if at == len(data):
             break
         size = int.from_bytes(data[at : at + 4], "little")
-        wide[:, plane] = np.frombuffer(pa.decompress(data[at + 4 : at + 4 + size], n, _CODEC, asbytes=True), np.uint8)
+        wide[:, plane] = np.frombuffer(_codec().decompress(data[at + 4 : at + 4 + size], n, asbytes=True), np.uint8)
         at += 4 + size
     return wide.view(np.int64).ravel()
 
@@ -51,7 +58,7 @@ def pack_sorted(keys: np.ndarray) -> bytes:
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
     planes = steps.view(np.uint8).reshape(-1, 8)[:, :width].T
     # Of the highest plane most is zero, so it is compressed; the others are noise.
-    return bytes([width]) + len(keys).to_bytes(4, "little") + planes[:-1].tobytes() + pa.compress(planes[-1].tobytes(), _CODEC, asbytes=True)
+    return bytes([width]) + len(keys).to_bytes(4, "little") + planes[:-1].tobytes() + _codec().compress(planes[-1].tobytes(), asbytes=True)
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
@@ -61,7 +68,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     wide = np.zeros((n, 8), np.uint8)
     at = 5 + n * (width - 1)
     wide[:, : width - 1] = np.frombuffer(data[5:at], np.uint8).reshape(width - 1, n).T
-    wide[:, width - 1] = np.frombuffer(pa.decompress(data[at:], n, _CODEC, asbytes=True), np.uint8)
+    wide[:, width - 1] = np.frombuffer(_codec().decompress(data[at:], n, asbytes=True), np.uint8)
     return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
@@ -100,9 +107,9 @@ def counted(base: DataFrame) -> DataFrame:
     found = base.agg(F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     tokens = found["bytes"] // 4 + 2 * found["rows"] + 1
     blocks, shards = max(1, math.ceil(found["bytes"] / BLOCK)), max(1, math.ceil(tokens / SHARD_TOKENS))
-    bits = min(63, max(40, tokens.bit_length() + 1 + SPARE))
+    bits = min(63, tokens.bit_length() + 1 + SPARE)
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "held", "text").repartition(parts, "block")
+    dealt = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "held", lower_ascii(F.col("text")).alias("text")).repartition(parts, "block")
     hashes = WordHashes(300_000)
 
     def own_counts(t: Tokens, docs: pa.Table):
@@ -163,7 +170,7 @@ def counted(base: DataFrame) -> DataFrame:
                 found[shard == s] += spread(r[name])
             counts.append(found[at])
         one, (two, three) = counts[0], np.split(counts[1], 2)
-        row = [[docs.column("block")[0].as_py()], [docs.column("id").to_pylist()], [docs.column("held").to_pylist()], [t.sizes.tolist()], [squeeze(one)], [squeeze(two)], [squeeze(three)], [sum(r["kinds"] for r in by_shard.values())], [sum(r["total"] for r in by_shard.values())]]
+        row = [[docs.column("block")[0].as_py()], [docs.column("id").to_pylist()], [docs.column("held").to_pylist()], [t.sizes.tolist()], *([squeeze(x, DENSE)] for x in (one, two, three)), [sum(r["kinds"] for r in by_shard.values())], [sum(r["total"] for r in by_shard.values())]]
         types = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3, pa.int64(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(row, types)], names=[f.split()[0] for f in _COUNTED.split(", ")])
 

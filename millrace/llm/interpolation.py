@@ -3,7 +3,7 @@
 The chance of a word after two others mixes four estimates: of the three words, of the pair, of the word alone (all by maximum likelihood), and the
 uniform one. How they are mixed depends on how often training holds the two words before, or, where it never does, the one before (buckets by
 powers of two). The weights come from expectation-maximisation on deleted counts: each training token in turn is held out of all the counts that
-predict it, its bucket's too. All tokens of the training texts take part: they are summed into a grid of estimates (quarters of a decade), whose size does not
+predict it, its bucket's too. All tokens of the training texts take part: they are summed into a grid of estimates (half decades), whose size does not
 grow with the corpus, and only that grid reaches the driver. Counts come to the texts by one exchange (see exchange.py).
 """
 
@@ -23,7 +23,7 @@ HELD_OUT = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) = 2"
 #: Buckets of contexts of one word come first, those of two words after them.
 BUCKETS, PAIRS = 128, 64
 #: Steps of the grid in a decade, and how many of them there are; the last is a chance of 0.
-STEPS, CELLS = 4, 256
+STEPS, CELLS = 2, 256
 
 
 def weights(grid: list, uniform: float, rounds: int = 60) -> np.ndarray:
