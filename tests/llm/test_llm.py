@@ -387,3 +387,90 @@ def test_pipeline_keeps_clean_rows(spark, tmp_path):
     twice = docs.unionByName(docs)
     assert texts(run(2, twice)) == Counter({k: 2 * n for k, n in texts(run(2, docs)).items()})
     assert sum(texts(run(3, twice)).values()) >= sum(drawn.values())
+
+
+def test_shards_are_near_equal_and_slots_hold_what_the_map_says(spark, tmp_path):
+    docs, rows = corpus(spark, 300, 8)
+    got = sharding.shard(docs, 4, 256, store=str(tmp_path / "map")).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    load, weight, home = Counter(), Counter(), {}
+    for r in got:
+        load[r.shard] += r["size"]
+        weight[r.vslot] += r["size"]
+        assert home.setdefault(r.vslot, r.shard) == r.shard
+    want = sharding.assign(weight, 4, 256)
+    assert all(want[v] == s for v, s in home.items()) and max(load.values()) - min(load.values()) <= max(weight.values())
+    stored = spark.read.parquet(str(tmp_path / "map"))
+    assert stored.count() == 256 and {r.version for r in stored.collect()} == {0}
+
+
+def test_rebalancing_moves_few_slots(spark):
+    rnd = random.Random(14)
+    weight = {s: rnd.randrange(1, 100) for s in range(200)}
+    first = sharding.assign(weight, 5, 200)
+    loads = lambda m: Counter({k: sum(w for s, w in weight.items() if m[s] == k) for k in set(m)})
+    assert max(loads(first).values()) - min(loads(first).values()) <= max(weight.values())
+    more = sharding.rebalance(first, weight, 6)
+    moved = [s for s in range(200) if more[s] != first[s]]
+    assert sum(weight[s] for s in moved) <= 1.3 * sum(weight.values()) / 6 and max(loads(more).values()) - min(loads(more).values()) <= 2 * max(weight.values())
+    fewer = sharding.rebalance(first, weight, 4)
+    assert set(fewer) == set(range(4)) and all(fewer[s] == first[s] for s in range(200) if first[s] < 4 and fewer[s] == first[s])
+    assert all(first[s] == 4 for s in range(200) if fewer[s] != first[s] and weight[s] > max(loads(first).values()) - sum(weight.values()) / 4 + max(weight.values()))
+    heavy = dict(weight)
+    for s in (s for s in range(200) if first[s] == 0):
+        heavy[s] *= 4
+    after = sharding.rebalance(first, heavy, 5)
+    spread = lambda m: max(x := [sum(w for s, w in heavy.items() if m[s] == k) for k in range(5)]) - min(x)
+    assert spread(after) < spread(first) / 4 and all(after[s] == first[s] or first[s] == 0 for s in range(200))
+    table = sharding.map_table(spark, [first, more])
+    assert {r.vslot: r.shard for r in sharding.latest(table).collect()} == dict(enumerate(more)) and table.filter("version = 0").count() == 200
+
+
+def test_verdicts_reach_all_aliases(spark):
+    """Blocks carried through canonical links, refreshes and given redirects on generated pages, against a search by hand."""
+    rnd = random.Random(40)
+    hosts = ["example.org", "a.example.org", "b.com", "c.net", "d.net"]
+    names = [f"http://{rnd.choice(hosts)}/{rnd.choice(['es', 'en', 'fr', 'de', 'x'])}/{i}" for i in range(1500)]
+    pages, near = [], {i: set() for i in range(1500)}
+    redirects = []
+    for i, u in enumerate(names):
+        html = "<p>"
+        if rnd.random() < 0.45:
+            j = rnd.randrange(max(0, i - 40), min(1500, i + 40))
+            near[i].add(j)
+            near[j].add(i)
+            kind = rnd.randrange(3)
+            if kind == 2:
+                redirects.append((u, names[j]))
+            else:
+                html = f'<link rel="canonical" href="{names[j]}">' if kind else f'<meta http-equiv="refresh" content="0;url={names[j]}">'
+        pages.append((i, u, html))
+    for i in range(1, 300):  # a hub
+        if i % 7 == 0:
+            redirects.append((names[i], names[0]))
+            near[0].add(i)
+            near[i].add(0)
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+    def rule(u):
+        host, path = re.match(r"http://([^/]+)(.*)", u).groups()
+        fits = [(len(h) + len(p), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    own, want, seen = [rule(u) for u in names], {}, set()
+    for i in range(1500):
+        if i in seen:
+            continue
+        group, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - group:
+                group.add(j)
+                todo.append(j)
+        seen |= group
+        said = {own[j][0] for j in group}
+        for j in group:
+            want[j] = (own[j][1], own[j][0] or ("block" if "block" in said and "allow" not in said else "allow"))
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(redirects, "url string, target string"))
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+    assert sum(r is None and v == "block" for r, v in want.values()) > 20
