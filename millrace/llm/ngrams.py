@@ -1,25 +1,20 @@
 """Pairs of neighbouring tokens as rows, and what models of them share.
 
 Tokens are lower-cased words and one end, which is a token too; the first word follows a start. Words are 64-bit hashes. A text's pairs are counted
-before they leave the task, so no pair, however common, has more rows than there are texts. A text is known by a hash of its id and words.
+before they leave the task, so no pair, however common, has more rows than there are texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from millrace.llm.text import WordHashes, split_words
 
 START, END = np.uint64(1), np.uint64(2)
 
 
-def text_key(id_col: Column, text: Column) -> Column:
-    return F.xxhash64(id_col, F.coalesce(text, F.lit("")))
-
-
 def pairs(docs: DataFrame) -> DataFrame:
     """(key, ctx, word, n) from docs(key, text): each distinct pair of a text and how often it occurs there."""
 
@@ -43,15 +38,3 @@ def pairs(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "ctx", "word", "n"])
 
     return docs.select("key", "text").mapInArrow(each, "key bigint, ctx bigint, word bigint, n int")
-
-
-def text_sums(rows: DataFrame, values: DataFrame, sums: dict[str, Column], texts: DataFrame) -> DataFrame:
-    """texts(key, ...) with sums over each text's pairs, from rows(key, ctx, word, n) and values(ctx, word, ...).
-
-    Repeated texts share a key; their sums are divided by their number.
-    """
-    met = rows.join(values, ["ctx", "word"]).groupBy("key").agg(F.sum("n").alias("n_tokens"), *(v.alias(k) for k, v in sums.items()))
-    copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    met = met.join(copies, "key")
-    whole = [(F.col(k) / F.col("copies")).cast(met.schema[k].dataType).alias(k) for k in ("n_tokens", *sums)]
-    return texts.join(met.select("key", *whole), "key")

@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Trusted are documents labelled of good quality. Counts, continuation counts and discounts come from all of them by grouped counts; texts meet their
-pairs' chances by a join. A document is kept if its perplexity is at most its language's threshold.
+Trusted are documents labelled of good quality. Counts, continuation counts and discounts come from all of them by grouped counts. Texts meet the
+model by a sharded join of counts (see lookup.py), as the logarithm of a text's chance is a sum of values of its words and pairs. A document is kept if its perplexity is at most its language's threshold.
 
 Thresholds come from labelled documents that the counts leave out (HELD_OUT): a language's is where trusted and poor ones part best. Without
 both kinds, the limit of all languages holds; without any, the quantile of the language's documents.
@@ -9,17 +9,22 @@ both kinds, the limit of all languages holds; without any, the quantile of the l
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.ngrams import pairs, text_key, text_sums
+from millrace.llm.lookup import sums
+from millrace.llm.ngrams import pairs
 from millrace.llm.storage import materialize
 
 #: Used only where no held-out labels of both kinds are.
 QUANTILE = 0.97
 #: A third of the labelled documents.
 HELD_OUT = "pmod(crc32(coalesce(cast({0} as string), '')), 3) = 1"
+#: Discounts are this at least, so every context leaves something to words it was not seen with.
+LEAST = 0.01
 #: Steps of log perplexity in which held-out documents are counted.
 STEPS = 100
 
@@ -48,29 +53,50 @@ def parting(counts: dict[int, tuple[int, int]]) -> int | None:
     return sum(found) // 2 if found else order[-1]
 
 
+def model(found: DataFrame) -> tuple[DataFrame, DataFrame, float, int]:
+    """The model of training pairs found(ctx, word, n), as values to be added: (words(word, value, often), pairs(ctx, word, value, often), unseen, rows of both).
+
+    A pair's chance is its discounted share of its context plus what the discounts freed there, spread by the words' own chances; these are discounted
+    shares of the kinds of pairs that end in a word, and what is freed goes to all words and an unseen one alike. Discounts of both come from their own
+    counts of counts. The logarithm of a text's chance is then, for each token, `unseen`, the value of the word before it and its own, and the pair's.
+    """
+    train = materialize(found.groupBy("ctx", "word").agg(F.sum("n").alias("c")))
+    fronts = materialize(train.groupBy("word").agg(F.count(F.lit(1)).alias("a"), F.sum("c").alias("often")))
+
+    def rates(counts: DataFrame, name: str) -> tuple[list[float], int, int]:
+        times = (F.coalesce(F.count_if(F.col(name) == i), F.lit(0)).alias(f"n{i}") for i in (1, 2, 3, 4))
+        r = counts.agg(*times, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(name), F.lit(0)).alias("all")).first()
+        return [max(LEAST, d) for d in discounts([r[f"n{i}"] for i in (1, 2, 3, 4)])], r["rows"], r["all"]
+
+    cut = lambda d, c: F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+    high, rows, _ = rates(train, "c")
+    low, kinds, ends = rates(fronts, "a")
+    after = materialize(train.groupBy("ctx").agg(F.sum("c").alias("all"), (F.sum(cut(high, "c")) / F.sum("c")).alias("freed")).withColumnRenamed("ctx", "before"))
+    freed = (fronts.agg(F.sum(cut(low, "a")).alias("freed")).first()["freed"] / ends if ends else 1.0) / (kinds + 1)
+    chance = (F.col("a") - cut(low, "a")) / max(1, ends) + freed
+    unseen = math.log(freed)
+    words = fronts.join(after, F.col("word") == F.col("before"), "full").select(
+        F.coalesce("word", "before").alias("word"),
+        (F.coalesce(F.ln(chance) - unseen, F.lit(0.0)) + F.coalesce(F.ln("freed"), F.lit(0.0))).alias("value"),
+        F.greatest(F.coalesce("often", F.lit(0)), F.coalesce("all", F.lit(0))).alias("often"),
+    )
+    met = train.join(after, F.col("ctx") == F.col("before")).join(fronts.select(F.col("word").alias("w"), chance.alias("alone")), F.col("word") == F.col("w"))
+    share = (F.col("c") - cut(high, "c")) / F.col("all")
+    values = met.select("ctx", "word", F.ln(1 + share / (F.col("freed") * F.col("alone"))).alias("value"), F.col("c").alias("often"))
+    return words, values, unseen, rows + kinds + 1
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, keep) for every row of docs(doc_id, text, lang).
 
     A null or empty text is its end alone. Null languages form one language. Without trusted text all words are alike. Repeated rows each give a
     row; other columns are left alone.
     """
-    base = docs.select("doc_id", "lang", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
+    base = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
     marked = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     trusted = marked.filter("quality = 1").filter(~F.expr(HELD_OUT.format("doc_id"))).select("doc_id")
-    rows = pairs(base)
-    train = materialize(pairs(base.join(trusted, "doc_id", "left_semi")).groupBy("ctx", "word").agg(F.sum("n").alias("c")))
-    times = lambda i: F.coalesce(F.count_if(F.col("c") == i), F.lit(0)).alias(f"n{i}")
-    found = train.agg(*map(times, (1, 2, 3, 4)), F.count(F.lit(1)).alias("kinds")).first()
-    d1, d2, d3 = discounts([found[f"n{i}"] for i in (1, 2, 3, 4)])
-    after = train.groupBy("ctx").agg(F.sum("c").alias("all"), (d1 * F.count_if(F.col("c") == 1) + d2 * F.count_if(F.col("c") == 2) + d3 * F.count_if(F.col("c") > 2)).alias("freed"))
-    ends = materialize(train.groupBy("word").agg(F.count(F.lit(1)).alias("fronts")))
-    v = ends.count()
-    kinds, own = max(1, found["kinds"]), 0.75
-    lower = F.greatest(F.coalesce("fronts", F.lit(0)) - own, F.lit(0.0)) / kinds + F.lit((own * v / kinds if v else 1.0) / (v + 1))
-    cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    seen = rows.select("ctx", "word").distinct().join(train, ["ctx", "word"], "left").join(after, "ctx", "left").join(ends, "word", "left")
-    chance = F.when(F.col("all").isNull(), lower).otherwise(F.coalesce(F.greatest(F.col("c") - cut, F.lit(0.0)), F.lit(0.0)) / F.col("all") + F.col("freed") / F.col("all") * lower)
-    out = text_sums(rows, seen.select("ctx", "word", F.ln(chance).alias("lp")), {"total": F.sum(F.col("n") * F.col("lp"))}, base.select("doc_id", "lang", "key"))
+    words, values, unseen, known = model(pairs(base.join(trusted, "doc_id", "left_semi")))
+    out = sums(docs, words, values, known).withColumn("total", F.col("total") + F.col("n_tokens") * F.lit(unseen))
     out = materialize(out.select("doc_id", "lang", "n_tokens", F.exp(-F.col("total") / F.col("n_tokens")).alias("perplexity")))
     step = F.floor(F.ln("perplexity") * STEPS).cast("int")
     tested = out.join(marked.filter(HELD_OUT.format("doc_id")), "doc_id").groupBy("lang", step.alias("step")).agg(F.count_if(F.col("quality") == 0).alias("poor"), F.count_if(F.col("quality") == 1).alias("good"))

@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from millrace.llm import decontamination, fingerprints, interpolation, jaccard, mixing, passages, quality, sharding, toxicity, urls
+from millrace.llm import decontamination, fingerprints, interpolation, jaccard, lookup, mixing, passages, quality, sharding, toxicity, urls
 from millrace.llm.interpolation import score
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -170,6 +170,47 @@ def test_quality_prefers_trusted_words(spark):
     assert quality.judge(docs, labels.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("block,entries,head", [(4 << 20, 4_000_000, 16384), (300, 60, 3)])
+def test_quality_against_direct_computation(spark, monkeypatch, block, entries, head):
+    monkeypatch.setattr(lookup, "BLOCK", block)
+    monkeypatch.setattr(lookup, "SHARD_ENTRIES", entries)
+    monkeypatch.setattr(lookup, "HEAD", head)
+    docs, rows = corpus(spark)
+    rows = [(r[0], r[1], r[2]) for r in rows] + [(900, None, None), (901, "", "en"), (None, "w1 W2\tw3 unheard", "de"), (3, "w5 " * 4000, "en"), (3, "w5 " * 4000, "en")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, total string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    tokens = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
+    train = Counter()
+    for i, text, _ in rows:
+        if i is not None and i < 40 and zlib.crc32(str(i).encode()) % 3 != 1:
+            w = tokens(text)
+            train.update(zip(w, w[1:]))
+    fronts, total, kinds = Counter(w for _, w in train), Counter(), len(train)
+    for (v, _), c in train.items():
+        total[v] += c
+
+    def rates(counts):
+        n = [sum(c == i for c in counts) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        each = lambda k, a, b: min(k, max(0.01, k - (k + 1) * y * b / a)) if a else y
+        d = each(1, n[0], n[1]), each(2, n[1], n[2]), each(3, n[2], n[3])
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    high, low = rates(train.values()), rates(fronts.values())
+    alone = lambda w: (fronts[w] - low(fronts[w])) / kinds + sum(map(low, fronts.values())) / kinds / (len(fronts) + 1)
+    freed = Counter()
+    for (v, _), c in train.items():
+        freed[v] += high(c)
+    chance = lambda v, w: (train[v, w] - high(train[v, w]) + freed[v] * alone(w)) / total[v] if total[v] else alone(w)
+    for v in ("<s>", "w1"):
+        assert abs(sum(chance(v, w) for w in [*fronts, "unheard"]) - 1) < 1e-9
+    got = quality.judge(docs, labels).collect()
+    want = sorted((str(i), len(tokens(t)) - 1, -sum(math.log(chance(v, w)) for v, w in zip(tokens(t), tokens(t)[1:])) / (len(tokens(t)) - 1)) for i, t, _ in rows)
+    have = sorted((str(r.doc_id), r.n_tokens, math.log(r.perplexity)) for r in got)
+    assert [x[:2] for x in want] == [x[:2] for x in have]
+    assert not [(x, y) for x, y in zip(want, have) if abs(x[2] - y[2]) > 2e-5]
+
+
 def test_passages_find_planted_ones(spark):
     rnd = random.Random(9)
     new = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
