@@ -20,7 +20,7 @@ from millrace.llm.exchange import pack_sorted, spread, squeeze, unpack_sorted
 from millrace.llm.ngrams import END, START
 from millrace.llm.text import WordHashes, mix, split_words
 
-BLOCK, SHARD_ENTRIES, HEAD, SPARE = 4 << 20, 4_000_000, 16384, 20
+BLOCK, SHARD_ENTRIES, HEAD, SPARE = 4 << 20, 4_000_000, 16384, 16
 #: Bits for a text's place in its block.
 PLACE = 12
 _ODD, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -39,16 +39,16 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def keyed(values: DataFrame) -> DataFrame:
-    """(key, value, often) from values(ctx, word, value, often); words alone have no ctx."""
+    """(key, value) from values(ctx, word, value); words alone have no ctx."""
 
     def each(batches):
         for b in batches:
             words = b.column("word").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             before = b.column("ctx").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             key = np.where(b.column("ctx").is_null().to_numpy(zero_copy_only=False), word_keys(words), pair_keys(before, words))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("value"), b.column("often")], ["key", "value", "often"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("value")], ["key", "value"])
 
-    return values.select("ctx", "word", "value", "often").mapInArrow(each, "key bigint, value double, often bigint")
+    return values.select("ctx", "word", "value").mapInArrow(each, "key bigint, value double")
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -56,20 +56,19 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), _TYPES)], names=names)
 
 
-def sums(docs: DataFrame, words: DataFrame, pairs: DataFrame, known: int) -> DataFrame:
+def sums(docs: DataFrame, words: DataFrame, pairs: DataFrame, top: DataFrame, known: int) -> DataFrame:
     """(doc_id, lang, n_tokens, total) for every row of docs(doc_id, lang, text): total adds the values of the start, of each word and of the end, and those of each pair of neighbours.
 
-    words(word, value, often) and pairs(ctx, word, value, often) have `known` rows together, each key once; often ranks them for the head. A null or empty
-    text is start and end; repeated rows each give a row. When an executor is lost, docs has to give each part's rows in the same order again, as files do.
+    words(word, value, often) and pairs(ctx, word, value) have `known` rows together, each key once; top has a bounded number of the pairs, the most
+    frequent ones, as `often` ranks the words. A null or empty text is start and end; repeated rows each give a row. When an executor is lost, docs has to give each part's rows in the same order again, as files do.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     entries = 2 * (size["bytes"] // 5 + 2 * size["rows"]) + 1
     shards, bits = max(1, math.ceil(entries / SHARD_ENTRIES)), min(63 - PLACE, int(known).bit_length() + SPARE)
     bounds = [(s << bits) // shards for s in range(shards + 1)]
     low, mask, cut = np.uint64(PLACE), np.uint64((1 << PLACE) - 1), np.uint64(64 - bits)
-    words, pairs = words.select(F.lit(None).cast("bigint").alias("ctx"), "word", "value", "often"), pairs.select("ctx", "word", "value", "often")
-    ends = F.col("word").isin(int(START), int(END)).desc()
-    head = [r for t, order in ((words, (ends, F.col("often").desc(), "word")), (pairs, (F.col("often").desc(), "ctx", "word"))) for r in keyed(t.orderBy(*order).limit(HEAD)).collect()]
+    no_ctx, ends = F.lit(None).cast("bigint").alias("ctx"), F.col("word").isin(int(START), int(END)).desc()
+    head = [r for t in (words.orderBy(ends, F.col("often").desc(), "word").limit(HEAD).select(no_ctx, "word", "value"), top) for r in keyed(t).collect()]
     head_keys = np.array([r["key"] for r in head], dtype=np.int64).view(np.uint64)
     order = np.argsort(head_keys)
     head_keys, head_values = head_keys[order], np.array([r["value"] for r in head])[order]
@@ -161,6 +160,6 @@ def sums(docs: DataFrame, words: DataFrame, pairs: DataFrame, known: int) -> Dat
         return pa.table([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(total)], names=["doc_id", "lang", "n_tokens", "total"])
 
     asks = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), "text").mapInArrow(ask, _ASK)
-    values = keyed(words.unionByName(pairs)).mapInArrow(pack, "shard int, keys binary, values binary")
+    values = keyed(words.select(no_ctx, "word", "value").unionByName(pairs)).mapInArrow(pack, "shard int, keys binary, values binary")
     answers = values.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(answer, _ANSWER)
     return answers.groupBy("block").applyInArrow(finish, "doc_id bigint, lang string, n_tokens bigint, total double")

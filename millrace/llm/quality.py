@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.lookup import sums
+from millrace.llm.lookup import HEAD, sums
 from millrace.llm.ngrams import pairs
 from millrace.llm.storage import materialize
 
@@ -53,8 +53,8 @@ def parting(counts: dict[int, tuple[int, int]]) -> int | None:
     return sum(found) // 2 if found else order[-1]
 
 
-def model(found: DataFrame) -> tuple[DataFrame, DataFrame, float, int]:
-    """The model of training pairs found(ctx, word, n), as values to be added: (words(word, value, often), pairs(ctx, word, value, often), unseen, rows of both).
+def model(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, int]:
+    """The model of training pairs found(ctx, word, n), as values to be added: (words(word, value, often), pairs(ctx, word, value), the HEAD most frequent of these, unseen, rows of both).
 
     A pair's chance is its discounted share of its context plus what the discounts freed there, spread by the words' own chances; these are discounted
     shares of the kinds of pairs that end in a word, and what is freed goes to all words and an unseen one alike. Discounts of both come from their own
@@ -80,10 +80,13 @@ def model(found: DataFrame) -> tuple[DataFrame, DataFrame, float, int]:
         (F.coalesce(F.ln(chance) - unseen, F.lit(0.0)) + F.coalesce(F.ln("freed"), F.lit(0.0))).alias("value"),
         F.greatest(F.coalesce("often", F.lit(0)), F.coalesce("all", F.lit(0))).alias("often"),
     )
-    met = train.join(after, F.col("ctx") == F.col("before")).join(fronts.select(F.col("word").alias("w"), chance.alias("alone")), F.col("word") == F.col("w"))
     share = (F.col("c") - cut(high, "c")) / F.col("all")
-    values = met.select("ctx", "word", F.ln(1 + share / (F.col("freed") * F.col("alone"))).alias("value"), F.col("c").alias("often"))
-    return words, values, unseen, rows + kinds + 1
+
+    def valued(some: DataFrame) -> DataFrame:
+        met = some.join(after, F.col("ctx") == F.col("before")).join(fronts.select(F.col("word").alias("w"), chance.alias("alone")), F.col("word") == F.col("w"))
+        return met.select("ctx", "word", F.ln(1 + share / (F.col("freed") * F.col("alone"))).alias("value"))
+
+    return words, valued(train), valued(train.orderBy(F.col("c").desc(), "ctx", "word").limit(HEAD)), unseen, rows + kinds + 1
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -95,8 +98,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     base = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
     marked = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     trusted = marked.filter("quality = 1").filter(~F.expr(HELD_OUT.format("doc_id"))).select("doc_id")
-    words, values, unseen, known = model(pairs(base.join(trusted, "doc_id", "left_semi")))
-    out = sums(docs, words, values, known).withColumn("total", F.col("total") + F.col("n_tokens") * F.lit(unseen))
+    words, values, top, unseen, known = model(pairs(base.join(trusted, "doc_id", "left_semi")))
+    out = sums(docs, words, values, top, known).withColumn("total", F.col("total") + F.col("n_tokens") * F.lit(unseen))
     out = materialize(out.select("doc_id", "lang", "n_tokens", F.exp(-F.col("total") / F.col("n_tokens")).alias("perplexity")))
     step = F.floor(F.ln("perplexity") * STEPS).cast("int")
     tested = out.join(marked.filter(HELD_OUT.format("doc_id")), "doc_id").groupBy("lang", step.alias("step")).agg(F.count_if(F.col("quality") == 0).alias("poor"), F.count_if(F.col("quality") == 1).alias("good"))
