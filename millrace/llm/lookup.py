@@ -51,6 +51,18 @@ def keyed(values: DataFrame) -> DataFrame:
     return values.select("ctx", "word", "value").mapInArrow(each, "key bigint, value double")
 
 
+def least_often(counts: DataFrame, often: str) -> int:
+    """The least power of two that at most HEAD rows of counts reach, found from the number of rows between each two powers."""
+    level, n = 64, 0
+    rows = counts.filter(F.col(often) > 0).groupBy(F.floor(F.log2(often)).cast("int").alias("level")).count().collect()  # 64 at most
+    for r in sorted(rows, key=lambda r: -r["level"]):
+        n += r["count"]
+        if n > HEAD:
+            break
+        level = r["level"]
+    return 1 << min(level, 62)
+
+
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     names = [f.split()[0] for f in schema.split(", ")]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), _TYPES)], names=names)
@@ -59,16 +71,16 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 def sums(docs: DataFrame, words: DataFrame, pairs: DataFrame, top: DataFrame, known: int) -> DataFrame:
     """(doc_id, lang, n_tokens, total) for every row of docs(doc_id, lang, text): total adds the values of the start, of each word and of the end, and those of each pair of neighbours.
 
-    words(word, value, often) and pairs(ctx, word, value) have `known` rows together, each key once; top has a bounded number of the pairs, the most
-    frequent ones, as `often` ranks the words. A null or empty text is start and end; repeated rows each give a row. When an executor is lost, docs has to give each part's rows in the same order again, as files do.
+    words(word, value, top) and pairs(ctx, word, value) have `known` rows together, each key once. Words marked top and the pairs of top, the most frequent
+    ones (see least_often), go to the tasks with the start and the end. A null or empty text is start and end; repeated rows each give a row. When an executor is lost, docs has to give each part's rows in the same order again, as files do.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     entries = 2 * (size["bytes"] // 5 + 2 * size["rows"]) + 1
     shards, bits = max(1, math.ceil(entries / SHARD_ENTRIES)), min(63 - PLACE, int(known).bit_length() + SPARE)
     bounds = [(s << bits) // shards for s in range(shards + 1)]
     low, mask, cut = np.uint64(PLACE), np.uint64((1 << PLACE) - 1), np.uint64(64 - bits)
-    no_ctx, ends = F.lit(None).cast("bigint").alias("ctx"), F.col("word").isin(int(START), int(END)).desc()
-    head = [r for t in (words.orderBy(ends, F.col("often").desc(), "word").limit(HEAD).select(no_ctx, "word", "value"), top) for r in keyed(t).collect()]
+    no_ctx, ends = F.lit(None).cast("bigint").alias("ctx"), F.col("word").isin(int(START), int(END))
+    head = [r for t in (words.filter(ends | F.col("top")).select(no_ctx, "word", "value"), top) for r in keyed(t).collect()]
     head_keys = np.array([r["key"] for r in head], dtype=np.int64).view(np.uint64)
     order = np.argsort(head_keys)
     head_keys, head_values = head_keys[order], np.array([r["value"] for r in head])[order]

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.lookup import HEAD, sums
+from millrace.llm.lookup import least_often, sums
 from millrace.llm.ngrams import pairs
 from millrace.llm.storage import materialize
 
@@ -54,7 +54,7 @@ def parting(counts: dict[int, tuple[int, int]]) -> int | None:
 
 
 def model(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, int]:
-    """The model of training pairs found(ctx, word, n), as values to be added: (words(word, value, often), pairs(ctx, word, value), the HEAD most frequent of these, unseen, rows of both).
+    """The model of training pairs found(ctx, word, n), as values to be added: (words(word, value, top), pairs(ctx, word, value), the most frequent of these, unseen, rows of both).
 
     A pair's chance is its discounted share of its context plus what the discounts freed there, spread by the words' own chances; these are discounted
     shares of the kinds of pairs that end in a word, and what is freed goes to all words and an unseen one alike. Discounts of both come from their own
@@ -78,7 +78,7 @@ def model(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, int
     words = fronts.join(after, F.col("word") == F.col("before"), "full").select(
         F.coalesce("word", "before").alias("word"),
         (F.coalesce(F.ln(chance) - unseen, F.lit(0.0)) + F.coalesce(F.ln("freed"), F.lit(0.0))).alias("value"),
-        F.greatest(F.coalesce("often", F.lit(0)), F.coalesce("all", F.lit(0))).alias("often"),
+        (F.coalesce("often", F.lit(0)) >= least_often(fronts, "often")).alias("top"),
     )
     share = (F.col("c") - cut(high, "c")) / F.col("all")
 
@@ -86,7 +86,7 @@ def model(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, int
         met = some.join(after, F.col("ctx") == F.col("before")).join(fronts.select(F.col("word").alias("w"), chance.alias("alone")), F.col("word") == F.col("w"))
         return met.select("ctx", "word", F.ln(1 + share / (F.col("freed") * F.col("alone"))).alias("value"))
 
-    return words, valued(train), valued(train.orderBy(F.col("c").desc(), "ctx", "word").limit(HEAD)), unseen, rows + kinds + 1
+    return words, valued(train), valued(train.filter(F.col("c") >= least_often(train, "c"))), unseen, rows + kinds + 1
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -175,7 +175,6 @@ def test_quality_against_direct_computation(spark, monkeypatch, block, entries,
     monkeypatch.setattr(lookup, "BLOCK", block)
     monkeypatch.setattr(lookup, "SHARD_ENTRIES", entries)
     monkeypatch.setattr(lookup, "HEAD", head)
-    monkeypatch.setattr(quality, "HEAD", head)
     docs, rows = corpus(spark)
     rows = [(r[0], r[1], r[2]) for r in rows] + [(900, None, None), (901, "", "en"), (None, "w1 W2\tw3 unheard", "de"), (3, "w5 " * 4000, "en"), (3, "w5 " * 4000, "en")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, total string")
