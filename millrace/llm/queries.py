@@ -67,13 +67,27 @@ leveled as (
   from ranked),
 goals as (
   select source, source_size, least(cast(cap as double), coalesce((select arg_min(lev, ratio) from leveled where lev <= ratio) * w, cast(cap as double))) as target from leveled),
+plan as (
+  select *, cast(floor(target) as bigint) as goal, greatest(1, cast(ceil(all_t / 65536) as bigint)) as block
+  from (select *, row_number() over (order by source nulls last) as nth, sum(target) over () as all_t,
+          sum(target) over (order by source nulls last rows between unbounded preceding and current row) as hi from goals)),
+points as (select k, k * '0.6180339887498949'::double as p from range(65536) t(k)),
+slots as (
+  select nth, k, row_number() over (partition by nth order by k) - 1 as nr
+  from points join plan on all_t > 0 and p - floor(p) >= (hi - target) / all_t and p - floor(p) < hi / all_t),
 placed as (
-  select s.*, g.source_size, g.target, cast(floor(g.target) as bigint) as goal,
+  select s.*, p.source_size, p.target, p.goal, p.nth, p.block,
+         row_number() over (order by s.doc_id) as row,
          cast(coalesce(sum(s.size) over (partition by s.source order by h, doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as bigint) as start
-  from sized s join goals g on s.source is not distinct from g.source)
+  from sized s join plan p on s.source is not distinct from p.source),
+spread as (select *, unnest(range(start // block, (start + size - 1) // block + 1)) as nr from placed where size > 0),
+firsts as (
+  select row, min(coalesce(k, 65536 + nr)) as first_slot from spread left join slots using (nth, nr)
+  where least(start + size, (nr + 1) * block, source_size, goal) > greatest(start, nr * block) group by row)
 select doc_id, cast(size as bigint) as size, source_size, target, source,
-  cast(case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - start)) end as bigint) as taken
-from placed
+  cast(case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - start)) end as bigint) as taken,
+  cast(first_slot as bigint) as first_slot
+from placed left join firsts using (row)
 """
 
 def op6_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +157,7 @@ select page_id, host, path, rule, coalesce(verdict, case when bad then 'block' e
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_toxicity": op1_crf_toxicity,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
-    "op3_schedule_mix": lambda s, d: op3_schedule_mix(s, d).drop("first_slot"),
+    "op3_schedule_mix": op3_schedule_mix,
     "op4_kneser_ney_quality": op4_kneser_ney_quality,
     "op5_chained_passages": op5_chained_passages,
     "op6_winnowed_decontamination": op6_winnowed_decontamination,

@@ -244,6 +244,17 @@ def test_shards_and_mix_cover_all_rows(spark):
     assert sharding.shard(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_follows_its_schedule(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "en", f"s{i % 3}", 1) for i in range(120)], SCHEMA)
+    drawn = lambda: {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(docs, slots=256).collect()}
+    one = drawn()
+    assert drawn() == one and all((taken > 0) == (slot is not None) for taken, slot in one.values())
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)
+    other = drawn()
+    assert {k: v[0] for k, v in other.items()} == {k: v[0] for k, v in one.items()}  # targets hold under any step
+    assert sum(other[k][1] != one[k][1] for k in one) > 60
+
+
 def test_decontamination_edges(spark):
     docs, rows = corpus(spark)
     bench = spark.createDataFrame([("q", " ".join(words(rows[next(i for i, r in enumerate(rows) if len(words(r[1])) > 100)][1])[5:30])), ("none", None)], "item_id string, text string")
