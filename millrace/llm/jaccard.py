@@ -9,6 +9,10 @@ Equal sets are one class before anything else. A signature's sets are compared w
 whose sets are then still apart are gone through again, the last time pair by pair, each pair by its sizes and the parities of 256 cells first: they
 give a bound that no pair of alike sets fails. Texts travel for pairs that pass it, and the finer parities of all cells, alone.
 
+Where more than CROWD sets share a signature, as in a large group of edited copies, the last round does not pair them. They are held against one set, the
+lead, and the members that a set or the lead has alone are its difference. Two alike sets of which one is not alike to the lead have much of their differences
+in common, so they share one of the rarest members of these (see `_met_in_differences`); most edits are a set's own and meet nothing.
+
 How many segments a band has is chosen for the number of sets that it really holds, so that strangers meet as rarely in large corpora as in small ones.
 """
 
@@ -18,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
@@ -31,6 +35,8 @@ OVER, UNDER, WORDS = 90, 100, 3
 SHARED = 0.01
 #: Cells of the parities that join conditions compare, as 64-bit numbers.
 FOLDED = 4
+#: Of a signature that more sets share, the last round compares differences from one set.
+CROWD = 32
 _SEED = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Signatures travel as 48 bits; what meets by chance is verified like the rest.
@@ -295,6 +301,54 @@ def _verify(pairs: DataFrame, node_texts: DataFrame, words: int, over: int, unde
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
+def _differences(members: DataFrame, words: int, over: int, under: int) -> DataFrame:
+    """(lead, id, root, n, d, w, far, extra) for members(lead, id, root, text, lead_text): n members, d of them or of the lead's in one of the two alone (extra), far if the two are not alike.
+
+    Sets a and b of a lead are alike where their extras have at least (w of a + w of b) / (2 (over + under)) in common.
+    """
+
+    def each(batches):
+        hashes, last, own = WordHashes(), None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part, rows = batch.slice(at, 200), []
+                for lead, text, lead_text in zip(part.column("lead").to_pylist(), part.column("text").to_pylist(), part.column("lead_text")):
+                    if lead != last:
+                        last, own = lead, _set_of(lead_text.as_py(), hashes, words)
+                    other = _set_of(text, hashes, words)
+                    extra = np.setxor1d(own, other, assume_unique=True)
+                    n, d = len(other), len(extra)
+                    rows.append((n, d, (over + under) * (d - n) + 2 * over * n, not _alike((n + len(own) - d) // 2, n, len(own), over, under), extra.view(np.int64)))
+                made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("lead", "id", "root")), *made], ["lead", "id", "root", "n", "d", "w", "far", "extra"])
+
+    return members.mapInArrow(each, "lead bigint, id bigint, root bigint, n bigint, d bigint, w bigint, far boolean, extra array<bigint>")
+
+
+def _met_in_differences(held: DataFrame, over: int, under: int) -> DataFrame:
+    """Pairs (a, b) of held (as `_differences` gives it) that may be alike; lost are none but those of two sets that are both alike to their lead.
+
+    Alike sets a and b, a not alike to the lead, share so many members of their extras that with these in one order, the rarest first, they share one of
+    the first d - o + 1 of either, o being the least overlap with any partner. Overlaps are at least 1: differences are a metric.
+    """
+    scale = 2 * (over + under)
+    up = lambda x: F.greatest(F.lit(1), F.ceil(x / scale))
+    least = held.filter("d > 0").groupBy("lead").agg(F.min("w").alias("w_any"), F.min(F.when(F.col("far"), F.col("w"))).alias("w_far")).filter("w_far is not null")
+    reach = held.drop("extra").join(least, "lead").select("lead", "id", "root", "n", "d", "w", (F.col("d") - up(F.col("w") + F.col("w_far")) + 1).alias("kept"), F.when(F.col("far"), F.col("d") - up(F.col("w") + F.col("w_any")) + 1).alias("asked"))
+    each = held.join(least.select("lead"), "lead", "left_semi").select("lead", "id", "d", F.explode("extra").alias("member"))
+    often = each.groupBy("lead", "member").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    met = each.join(often, ["lead", "member"])
+    # Members that one set alone has are the rarest; they need no row, as they meet nothing.
+    whole = Window.partitionBy("lead", "id")
+    placed = met.select("lead", "id", "member", (F.col("d") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("often", "member"))).alias("place"))
+    placed = materialize(placed.join(reach, ["lead", "id"]).filter("place <= kept or place <= asked"))
+    side = lambda c: placed.select("lead", "member", F.col("id").alias(c), *(F.col(x).alias(x + c) for x in ("root", "n", "d", "w", "place", "kept", "asked")))
+    room = F.least(F.col("da") - F.col("placea"), F.col("db") - F.col("placeb")) + 1
+    fits = (F.least("na", "nb") * under >= F.greatest("na", "nb") * over) & (room * scale >= F.col("wa") + F.col("wb"))
+    pairs = side("a").filter("placea <= askeda").join(side("b").filter("placeb <= keptb"), ["lead", "member"]).filter("a <> b and roota <> rootb").filter(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _bound(over: int, under: int) -> Column:
     """Whether sizes na, nb and folded parities qa0..., qb0... leave it open that two sets are alike."""
     differ = sum((F.bit_count(F.col(f"qa{i}").bitwiseXOR(F.col(f"qb{i}"))) for i in range(FOLDED)), F.lit(0))
@@ -313,24 +367,38 @@ def _classes(texts: DataFrame, seen: DataFrame, over: int, under: int, words: in
     held = {r["band"] - 1: r["count"] for r in sizes.collect()}  # as many rows as bands
     keys = materialize(_shared(_packed(texts.filter("id is not null"), words, over, under, buckets, held), buckets).distinct())
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text) for nodes(h1)."""
+        wanted = classes.join(nodes, "h1", "left_semi").select(F.col("class_id").alias("id")).distinct()
+        node_texts = _node_texts(texts.join(wanted, "id", "left_semi"), words)
+        return materialize(node_texts.join(nodes.withColumnRenamed("h1", "node"), "node", "left_semi"))
+
     def check(pairs: DataFrame, one_each: bool) -> DataFrame:
         pairs = _possible(pairs, classes, over, under)
         pairs = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")) if one_each else pairs)
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-        wanted = classes.join(nodes, "h1", "left_semi").select(F.col("class_id").alias("id")).distinct()
-        node_texts = _node_texts(texts.join(wanted, "id", "left_semi"), words)
-        return materialize(_verify(pairs, materialize(node_texts.join(nodes.withColumnRenamed("h1", "node"), "node", "left_semi")), words, over, under))
+        return materialize(_verify(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()), words, over, under))
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) among the sets of each signature in rows(sig, id, root). A signature's lead here is the root that most of its sets have, so a group's signatures share few leads."""
+        most = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("sets")).groupBy("sig").agg(F.max_by("root", F.struct("sets", "root")).alias("lead"))
+        members = materialize(rows.select("sig", "id", "root").join(most, "sig").select("lead", "id", "root").distinct())
+        read = texts_of(members.select(F.explode(F.array("lead", "id")).alias("h1")).distinct()).dropDuplicates(["node"])  # an id may have equal rows
+        met = members.join(read.withColumnRenamed("node", "id"), "id").join(read.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
+        held = materialize(_differences(met.select("lead", "id", "root", "text", "lead_text"), words, over, under))
+        near = held.filter("not far and root <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        return _met_in_differences(held, over, under).unionByName(near)
 
     links = check(keys.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), True)
     for last in (False, True):
         roots = components(links).withColumnRenamed("node", "id")
         placed = keys.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-        split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("id", "root"), F.xxhash64("id", "root")).alias("lead")).filter("lo <> hi")
-        left = materialize(placed.join(split.select("sig", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "sig"))
+        split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("id", "root"), F.xxhash64("id", "root")).alias("lead"), F.count(F.lit(1)).alias("sets")).filter("lo <> hi")
+        left = materialize(placed.join(split.select("sig", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root"), "sets"), "sig"))
         if last:
-            sized = left.select("sig", "id", "root").join(classes.select(F.col("h1").alias("id"), "n", *_QS), "id")
+            sized = left.filter(F.col("sets") <= CROWD).select("sig", "id", "root").join(classes.select(F.col("h1").alias("id"), "n", *_QS), "id")
             side = lambda c: sized.select("sig", F.col("id").alias(c), F.col("root").alias("r" + c), F.col("n").alias("n" + c), *(F.col(q).alias(f"q{c}{q[1:]}") for q in _QS))
-            pairs = side("a").join(side("b"), "sig").filter("a < b and ra <> rb").filter(_bound(over, under)).select("a", "b").distinct()
+            pairs = side("a").join(side("b"), "sig").filter("a < b and ra <> rb").filter(_bound(over, under)).select("a", "b")
+            pairs = pairs.unionByName(crowded(left.filter(F.col("sets") > CROWD))).distinct()
         else:
             pairs = left.filter("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         links = links.unionByName(check(pairs, False)).distinct()

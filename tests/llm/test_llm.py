@@ -61,6 +61,42 @@ def test_jaccard_equals_brute_force(spark, over, k):
     assert jaccard.join(empty(spark)).count() == 0
 
 
+def test_jaccard_does_not_pair_a_crowd_of_edited_copies(spark, monkeypatch):
+    rnd = random.Random(21)
+    new = lambda: f"c{rnd.randrange(10**9)}"
+    base = [new() for _ in range(400)]
+
+    def edited(n):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), n):
+            w[at] = new()
+        return w
+
+    texts = [edited(rnd.choice([2, 8, 9, 10, 11])) for _ in range(140)]
+    texts += [rnd.choice(texts)[rnd.randrange(90) :] for _ in range(20)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if alike(sets[i], sets[j])]
+    root = list(range(len(sets)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, j in links:
+        x, y = sorted((find(i), find(j)))
+        root[y] = x
+    assert 20 < len({find(i) for i in range(len(sets))}) < 140
+    monkeypatch.setattr(jaccard, "CROWD", 4, raising=False)
+    compared, possible = [], jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *rest: compared.append(pairs.count()) or possible(pairs, *rest))
+    got = jaccard.join(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), over=80, words=5).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(sets))}
+    assert compared[-1] < 1000, compared
+
+    for lead in (0, len(texts) - 1):
+        members = spark.createDataFrame([(lead, i, i, " ".join(w), " ".join(texts[lead])) for i, w in enumerate(texts)], "lead long, id long, root long, text string, lead_text string")
+        found = {tuple(r) for r in jaccard._met_in_differences(jaccard._differences(members, 5, 80, 100), 80, 100).collect()}
+        near = {i for i in range(len(texts)) if alike(sets[i], sets[lead])}
+        assert {(i, j) for i, j in links if lead not in (i, j) and not {i, j} <= near} <= found
+
+
 def test_signatures_meet_for_all_alike_sets():
     rnd = np.random.default_rng(5)
     for size in [*range(1, 60), 150, 700]:
