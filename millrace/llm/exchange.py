@@ -1,7 +1,7 @@
 """Counts of all n-grams of a corpus, returned to the texts that hold them, in one exchange.
 
-Texts are dealt into blocks of about BLOCK bytes. Each block sends the distinct n-grams of its texts, sorted and packed, to shards by hash, with how often its
-training texts hold them; a shard adds these up and answers each block, in the order asked, with how many more the others hold. So an n-gram travels once
+Texts are dealt into blocks of about BLOCK bytes. Each block sends the distinct n-grams of its texts, sorted and packed, to shards, which are ranges of hashes and
+so pieces of what is sorted (a block's work does not grow with the number of shards), with how often its training texts hold them; a shard adds these up and answers each block, in the order asked, with how many more the others hold. So an n-gram travels once
 for each block, however common it is, and an answer is a small number without its key, mostly 0. Single words are told apart by 64-bit hashes; longer ones by
 as many bits as the corpus's size asks for: one in 2^SPARE of them shares its key with another.
 """
@@ -72,6 +72,25 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def edges(bits: int, shards: int) -> list[int]:
+    """Where the keys of each shard begin, of keys of so many bits; hashes fill the ranges evenly."""
+    return [-(-(s << bits) // shards) for s in range(shards)]
+
+
+def cuts(keys: np.ndarray, begin: list[int]) -> list[int]:
+    """Where in ascending keys each shard's begin, and the end."""
+    return [*np.searchsorted(keys, np.array(begin, dtype=np.uint64)).tolist(), len(keys)]
+
+
+def distinct(keys: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of less than 64 bits, and how often each is marked."""
+    coded = keys << np.uint64(1) | marked.astype(np.uint64)
+    coded.sort()
+    unique = coded >> np.uint64(1)
+    new = np.flatnonzero(np.diff(unique, prepend=~unique[:1]))
+    return unique[new], np.add.reduceat((coded & np.uint64(1)).astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+
+
 class Tokens:
     """The tokens of some texts, each text with one end: hashes of words, of pairs and of threes, and where texts begin."""
 
@@ -110,24 +129,31 @@ def counted(base: DataFrame) -> DataFrame:
     bits = min(63, tokens.bit_length() + 1 + SPARE)
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "held", lower_ascii(F.col("text")).alias("text")).repartition(parts, "block")
-    hashes = WordHashes(300_000)
+    hashes, begins = WordHashes(300_000), (edges(64, shards), edges(bits, shards))
+
+    def training(t: Tokens, docs: pa.Table) -> np.ndarray:
+        return np.repeat(~np.array(docs.column("held").to_pylist(), dtype=bool), t.sizes)
 
     def own_counts(t: Tokens, docs: pa.Table):
         """(distinct keys, where each token's is, how often training texts of this block hold it), of words and of what is longer."""
-        train = np.repeat(~np.array(docs.column("held").to_pylist(), dtype=bool), t.sizes)
+        train = training(t, docs)
         for keys, own in ((t.one, train), (t.more, np.tile(train, 2))):
             unique, at = np.unique(keys, return_inverse=True)
             yield unique, at, np.bincount(at, weights=own, minlength=len(unique)).astype(np.int64)
 
     def ask(table: pa.Table) -> pa.Table:
         t = Tokens(table.column("text").to_pylist(), hashes, bits)
-        asked = [(unique, count, (unique >> np.uint64(1)) % np.uint64(shards)) for unique, _, count in own_counts(t, table)]
+        train = training(t, table)
+        one, held = np.unique(t.one), np.unique(t.one[train], return_counts=True)
+        count = np.zeros(len(one), np.int64)
+        count[np.searchsorted(one, held[0])] = held[1]
+        asked = [(*x, begin, cuts(x[0], begin)) for x, begin in zip(((one, count), distinct(t.more, np.tile(train, 2))), begins)]
         block, rows = table.column("block")[0].as_py(), []
         for s in range(shards):
             row = [s, block]
-            for unique, count, shard in asked:
-                own = shard == s
-                row += [pack_sorted(unique[own]), squeeze(count[own])]
+            for unique, count, begin, cut in asked:
+                own = slice(cut[s], cut[s + 1])
+                row += [pack_sorted(unique[own] - np.uint64(begin[s])), squeeze(count[own])]
             rows.append(row)
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=[f.split()[0] for f in _ASK.split(", ")])
 
@@ -164,10 +190,10 @@ def counted(base: DataFrame) -> DataFrame:
         t = Tokens(docs.column("text").to_pylist(), hashes, bits)
         by_shard = {r["shard"]: r for r in said.to_pylist()}
         counts = []
-        for (unique, at, found), name in zip(own_counts(t, docs), ("one", "more")):
-            shard = (unique >> np.uint64(1)) % np.uint64(shards)
+        for (unique, at, found), name, begin in zip(own_counts(t, docs), ("one", "more"), begins):
+            cut = cuts(unique, begin)
             for s, r in by_shard.items():
-                found[shard == s] += spread(r[name])
+                found[cut[s] : cut[s + 1]] += spread(r[name])
             counts.append(found[at])
         one, (two, three) = counts[0], np.split(counts[1], 2)
         row = [[docs.column("block")[0].as_py()], [docs.column("id").to_pylist()], [docs.column("held").to_pylist()], [t.sizes.tolist()], *([squeeze(x, DENSE)] for x in (one, two, three)), [sum(r["kinds"] for r in by_shard.values())], [sum(r["total"] for r in by_shard.values())]]

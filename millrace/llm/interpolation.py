@@ -89,6 +89,8 @@ def _grid(blocks: DataFrame, texts: int, total: int) -> list:
     def each(batches):
         for _, held, sizes, first, one, two, three in _rows(batches):
             train = np.repeat(~held, sizes)
+            if not train.any():
+                continue
             b, p = estimates(one, two, three, first, texts, total, 1)
             b, p = b[train], p[train]
             with np.errstate(divide="ignore"):

@@ -428,6 +428,35 @@ def test_interpolation_equals_brute_force(spark, monkeypatch):
         assert abs(sum(chance(a, b, w) for w in [*kinds, "unknown"]) - 1) < 1e-9
 
 
+def test_interpolation_of_a_long_held_out_text(spark):
+    """A text that is worked on by itself and that no training token comes from."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(held, "a b " * 100_001), *((i, "a b c") for i in range(100, 110))]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 11 and got[held].n_tokens == 200_003 and got[held].score < 0
+
+
+def test_a_block_costs_no_more_for_many_shards(spark, monkeypatch):
+    """The counts of one block from one shard and from over 5000, which may add what so many small rows cost, but not so many looks at the whole block."""
+    import time
+
+    from millrace.llm import exchange
+
+    rnd = np.random.default_rng(5)
+    rows = [(i, i % 3 == 0, " ".join(f"w{x}" for x in rnd.integers(0, 10**6, 8000))) for i in range(100)]
+    base = spark.createDataFrame(rows, "id long, held boolean, text string").repartition(1).cache()
+    base.count()
+    found, took = [], []
+    for tokens in (10**9, 300):
+        monkeypatch.setattr(exchange, "SHARD_TOKENS", tokens)
+        began = time.time()
+        got = exchange.counted(base).collect()
+        took.append(time.time() - began)
+        assert len(got) == 1 and sum(r.total for r in got) == sum(len(t.split()) + 1 for _, held, t in rows if not held)
+        found.append([exchange.spread(got[0][c]) for c in ("one", "two", "three")])
+    assert all(np.array_equal(x, y) for x, y in zip(*found)) and took[1] < took[0] + 12, took
+
+
 def test_packed_numbers_come_back():
     from millrace.llm import exchange
 
