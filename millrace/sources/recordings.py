@@ -39,7 +39,15 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in ddl.split(", "))])
 
 
-def in_batches(rows: Iterator[tuple], schema: pa.Schema, weight=lambda row: 100, room: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+_SIZED = frozenset((bytes, bytearray, str, list))
+
+
+def weight(row: tuple) -> int:
+    """About the bytes that a row takes in Python."""
+    return 64 * len(row) + sum(len(x) for x in row if type(x) in _SIZED)
+
+
+def in_batches(rows: Iterator[tuple], schema: pa.Schema, room: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as batches of about `room` bytes, one row at least."""
     held, size = [], 0
     for row in rows:
@@ -102,14 +110,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("demo_id"), "content")
 
 
-def each_file(recordings: DataFrame, rows_of, ddl: str, weight=lambda row: 100) -> DataFrame:
+def each_file(recordings: DataFrame, rows_of, ddl: str) -> DataFrame:
     """The rows that rows_of gives for each recording's id and bytes."""
     schema = arrow_schema(ddl)
 
     def each(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from in_batches(rows_of(name, data.as_py() or b""), schema, weight)
+                yield from in_batches(rows_of(name, data.as_py() or b""), schema)
 
     return recordings.select(F.col("demo_id").cast("string"), "content").mapInArrow(each, ddl)
 
@@ -152,7 +160,7 @@ def commands(recordings: DataFrame, magic: bytes, bodies: bool = True, limits: L
                 raise FormatError(f"{name}, command {idx}: {e}") from e
             yield name, idx, *[None] * 11, str(e)
 
-    return each_file(recordings, rows_of, COMMANDS, lambda row: len(row[12] or b"") + 100)
+    return each_file(recordings, rows_of, COMMANDS)
 
 
 def metadata(recordings: DataFrame, magic: bytes, limits: Limits = Limits()) -> DataFrame:
@@ -164,7 +172,7 @@ def metadata(recordings: DataFrame, magic: bytes, limits: Limits = Limits()) ->
                 _, _, cmd, tick, squeezed, _, body = next(frames(data, limits, at))
                 yield name, what, cmd, tick, decode(body, squeezed, limits)
 
-    return each_file(recordings, rows_of, "demo_id string, what string, cmd int, tick int, body binary", lambda row: len(row[4]) + 100)
+    return each_file(recordings, rows_of, "demo_id string, what string, cmd int, tick int, body binary")
 
 
 def message_frames(data: bytes, limits: Limits = Limits()) -> Iterator[tuple]:
@@ -197,6 +205,6 @@ def messages(packets: DataFrame, limits: Limits = Limits(), failfast: bool = Tru
     def each(batches):
         for batch in batches:
             rows = (row for r in zip(*(batch.column(c).to_pylist() for c in ("demo_id", "idx", "body"))) for row in rows_of(*r))
-            yield from in_batches(rows, schema, lambda row: len(row[9] or b"") + 100)
+            yield from in_batches(rows, schema)
 
     return packets.select(F.col("demo_id").cast("string").alias("demo_id"), F.col("idx").cast("bigint").alias("idx"), "body").mapInArrow(each, MESSAGES)

@@ -117,3 +117,13 @@ def test_messages(spark):
     assert rows[3].idx == 2 and rows[3].error
     assert "exceeds" in rec.messages(packets.filter("idx = 0"), rec.Limits(message=2), failfast=False).first().error
     assert pa.types.is_binary(rec.arrow_schema(rec.MESSAGES).field("payload").type)
+
+
+def test_batches_are_bounded_by_what_rows_hold():
+    """Long values and many short rows alike, in order and whole."""
+    schema = rec.arrow_schema("n bigint, text string, body binary, path array<int>")
+    for rows in ([(i, "x" * 500_000, bytes(500_000), None) for i in range(100)], [(i, None, None, [1, 2]) for i in range(150_000)]):
+        made = list(rec.in_batches(iter(rows), schema))
+        assert [n for b in made for n in b.column(0).to_pylist()] == list(range(len(rows)))
+        assert max(b.nbytes for b in made) < 18 << 20 and max(b.num_rows for b in made) < 100_000
+    assert [b.num_rows for b in rec.in_batches(iter([(1, "x" * (20 << 20), None, None)] * 2), schema)] == [1, 1] and not list(rec.in_batches(iter([]), schema))
